@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import language
+from cueweave.llm import language, near_copies
 from cueweave.llm.queries import LANGUAGE_MARGIN, LANGUAGE_SAMPLE
 from cueweave.llm._state import written
 
@@ -14,7 +14,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_accepted(docs, least=LANGUAGE_MARGIN, sample=LANGUAGE_SAMPLE)
 
 
-STAGES = [("language", identify_language)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_copies.drop_copies(docs)
+
+
+STAGES = [("language", identify_language), ("near copies", drop_near_copies)]
 
 #: Linear machines and suffix sorting have no SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer document makes a chunk of its own.
 CHUNK = 1 << 20
+#: Texts worked on at once.
+CHUNK_TEXTS = 2048
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -26,7 +28,7 @@ def chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(col):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, side="right")) - 1)
+        b = min(a + CHUNK_TEXTS, max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, side="right")) - 1), len(col))
         yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 
