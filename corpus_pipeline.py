@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import language, near_copies
+from cueweave.llm import language, near_copies, suffix_repeats
 from cueweave.llm.queries import LANGUAGE_MARGIN, LANGUAGE_SAMPLE
 from cueweave.llm._state import written
 
@@ -19,7 +19,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_copies.drop_copies(docs)
 
 
-STAGES = [("language", identify_language), ("near copies", drop_near_copies)]
+def drop_suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier document, or an earlier place of the same one, has."""
+    return suffix_repeats.drop_repeats(docs)
+
+
+STAGES = [("language", identify_language), ("near copies", drop_near_copies), ("suffix repeats", drop_suffix_repeats)]
 
 #: Linear machines and suffix sorting have no SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
