@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import language, near_copies, suffix_repeats
-from cueweave.llm.queries import LANGUAGE_MARGIN, LANGUAGE_SAMPLE
+from cueweave.llm import contamination, language, mixing, near_copies, suffix_repeats
+from cueweave.llm.queries import LANGUAGE_MARGIN, LANGUAGE_SAMPLE, MIX_WEIGHTS, table
 from cueweave.llm._state import written
 
 
@@ -24,14 +24,30 @@ def drop_suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return suffix_repeats.drop_repeats(docs)
 
 
-STAGES = [("language", identify_language), ("near copies", drop_near_copies), ("suffix repeats", drop_suffix_repeats)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark question, re-parameterised or not."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' weights ask, with a column copy."""
+    return mixing.mixed(docs, MIX_WEIGHTS)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near copies", drop_near_copies),
+    ("suffix repeats", drop_suffix_repeats),
+    ("contamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
 
 #: Linear machines and suffix sorting have no SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

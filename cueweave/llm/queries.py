@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_copies, suffix_repeats
+from . import contamination, language, mixing, near_copies, suffix_repeats
 
 #: Least margin of a language decision.
 LANGUAGE_MARGIN = 0.01
@@ -14,10 +14,18 @@ LANGUAGE_MARGIN = 0.01
 LANGUAGE_SAMPLE = 400
 
 
+#: Weights of sources in the mixture; the others weigh 1.
+MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -30,9 +38,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), least=LANGUAGE_MARGIN, sample=LANGUAGE_SAMPLE)
 
 
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {k[4:]: v for k, v in vars(sql).items() if k.startswith("SQL_")}
