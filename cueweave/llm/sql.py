@@ -64,3 +64,49 @@ bw AS MATERIALIZED (
 SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS windows, bool_or(coalesce(same, true)) AS exact
 FROM lines LEFT JOIN exact USING (doc_id, item_id, line) GROUP BY doc_id, item_id
 """
+
+
+def _canonical(url: str) -> str:
+    from .urls import TRACKING
+
+    u = f"regexp_replace(trim({url}), '#.*$', '')"
+    part = lambda i: f"regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)\\??(.*)$', {i})"
+    names = ", ".join(f"'{t}'" for t in TRACKING)
+    scheme = f"lower({part(1)})"
+    port = f"CASE {scheme} WHEN 'http' THEN ':80' WHEN 'https' THEN ':443' ELSE ':' END"
+    host = f"regexp_replace(lower({part(2)}), '^.*@', '')"
+    host = f"CASE WHEN ends_with({host}, {port}) THEN left({host}, len({host}) - len({port})) ELSE {host} END"
+    host = f"regexp_replace({host}, '^(www|m)\\.', '')"
+    query = f"array_to_string(list_sort(list_filter(string_split({part(4)}, '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({names}) AND NOT starts_with(lower(p), 'utm_'))), '&')"
+    return f"""CASE WHEN {host} <> '' THEN CASE WHEN {scheme} IN ('http', 'https') THEN 'http' ELSE {scheme} END || '://' || {host} || regexp_replace({part(3)}, '/+$', '')
+      || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"""
+
+
+SQL_op3_urls = f"""
+WITH p AS MATERIALIZED (SELECT page_id, url, {_canonical("url")} AS canonical_url FROM pages)
+SELECT page_id, url, canonical_url FROM p
+WHERE canonical_url IN (SELECT canonical_url FROM p WHERE (url LIKE '%cheap-pills%' OR page_id % 5 = 0) AND canonical_url IS NOT NULL)
+"""
+
+SQL_op5_revisits = f"""
+WITH rec AS MATERIALIZED (
+  SELECT CAST(page_id AS VARCHAR) || '-' || n AS record_id, n, url AS uri, {_canonical("url")} AS key,
+         page_id * 10 + CASE n WHEN 1 THEN 0 WHEN 2 THEN 5 ELSE 4000 END AS ts,
+         CASE WHEN n = 1 THEN CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END ELSE 304 END AS status,
+         CASE n WHEN 1 THEN CASE WHEN page_id % 11 <> 0 THEN '"' || substr(md5(html), 1, 12) || '"' END WHEN 2 THEN 'W/"' || substr(md5(html), 1, 12) || '"'
+                ELSE '"' || substr(md5(html || CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END), 1, 12) || '"' END AS etag,
+         CASE WHEN n = 1 THEN md5(html) END AS payload_digest
+  FROM pages, (VALUES (1), (2), (3)) v(n)
+), pairs AS (
+  SELECT r.record_id, r.uri, r.ts, r.etag, f.record_id AS refers_to, f.etag AS f_etag, f.payload_digest
+  FROM rec r LEFT JOIN rec f ON f.n = 1 AND f.status = 200 AND f.key = r.key AND f.ts < r.ts
+  WHERE r.n > 1
+  QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1
+), judged AS (
+  SELECT *, refers_to IS NOT NULL AND coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(f_etag, '^W/', ''), false) AS matched FROM pairs
+)
+SELECT record_id, uri, ts, refers_to, matched,
+       CASE WHEN matched THEN 'content-type=text/html;date=' || ts || ';etag=' || etag END AS headers,
+       CASE WHEN matched THEN payload_digest END AS payload_digest
+FROM judged
+"""
