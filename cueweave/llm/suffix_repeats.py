@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,13 +101,35 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, rows.schema)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, z): the texts for a shuffle, compressed one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = [pack.compress(t.as_buffer()) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["doc_id", "sub", "z"])
+
+    return docs.mapInArrow(run, "doc_id bigint, sub bigint, z binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], at: int = 2) -> Iterator[pa.RecordBatch]:
+    """The batches, some rows at a time, with the texts in place of their compressed form."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            texts = [unpack.decompress(z.as_buffer()) for z in part.column(at)]
+            yield part.set_column(at, "text", pa.array(texts, pa.large_binary()))
+
+
 def _windows(docs: DataFrame, seeds: DataFrame, k: int, seed: int) -> DataFrame:
     """(h, doc_id, place) of the windows of k tokens that hold a seed."""
     listed = seeds.withColumn("sub", F.shiftright("place", 32)).groupBy("doc_id", "sub").agg(F.collect_list((F.col("place") - F.shiftleft("sub", 32)).cast("int")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
-        for batch in batches:
+        for batch in unpacked(batches):
             for part, data, off in chunks(batch, "text"):
                 h, tok, doc = _tokens(data, off, pw)
                 hashes = window_hash(h, k, pw)
@@ -125,7 +148,7 @@ def _windows(docs: DataFrame, seeds: DataFrame, k: int, seed: int) -> DataFrame:
                     b = slice(a, a + ROWS)
                     yield pa.record_batch([_long(hashes[p[b]]), pa.array(ids[b]), pa.array(place[b])], ["h", "doc_id", "place"])
 
-    return docs.join(listed, ["doc_id", "sub"]).select("doc_id", "sub", "text", "at").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
+    return _packed(docs).join(listed, ["doc_id", "sub"]).select("doc_id", "sub", "z", "at").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
 
 
 def _runs(windows: DataFrame) -> DataFrame:
