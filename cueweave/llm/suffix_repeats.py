@@ -9,6 +9,7 @@ partition sorts the suffixes of the runs of its components.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -368,6 +369,7 @@ def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED,
     _release(docs)
     distinct = runs.groupBy("run").agg(F.count("*").cast("int").alias("count"), F.min(F.struct("doc_id", "place")).alias("first"), F.max("seq").alias("seq"))
     distinct = written(distinct.select("run", "count", "first.doc_id", "first.place", "seq"), "distinct-runs")
+    _release(docs)
     named = components(_edges(distinct), "a", "b").withColumnRenamed("node", "run")
     members = _members(distinct.join(named, "run", "left").withColumn("component", F.coalesce("component", "run")), min_tokens)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
@@ -378,9 +380,11 @@ def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED,
 
 
 def _release(df: DataFrame) -> None:
-    """Lets the driver drop the shuffle files of jobs that are over."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets the driver drop the shuffle files of jobs that are over; the driver's Python lets go of their plans a moment after it is told."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
