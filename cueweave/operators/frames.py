@@ -19,7 +19,7 @@ def audio_activity(frames: DataFrame, *, key: tuple[str, ...] = KEY, energy: str
     some = F.when(F.col(energy) > 0, F.col(energy))
     per = frames.groupBy(*key).agg(F.percentile(some, quantile).alias("_low"), F.nullif(F.percentile(some, 0.95), F.lit(0.0)).alias("_scale"))
     e = F.col(energy).cast("double")
-    return frames.join(per, list(key)).withColumns({"audio_active": F.coalesce(e >= F.col("_low"), F.lit(False)), "audio_energy": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(e, F.col("_scale")))), F.lit(0.0))}).drop("_low", "_scale")
+    return frames.join(per, list(key)).withColumns({"audio_active": F.coalesce(e >= F.col("_low"), F.lit(False)), "audio_energy": F.when(F.col("_scale").isNull() | e.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(e, F.col("_scale")))))}).drop("_low", "_scale")
 
 
 def sampled(frames: DataFrame, columns: list[str], *, stride: int = 5, key: tuple[str, ...] = KEY, index: str = "frame_idx") -> DataFrame:

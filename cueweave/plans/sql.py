@@ -136,7 +136,7 @@ _frames = """f AS MATERIALIZED (
          value / 2000 AS mm, value / 20000 AS ms, event_id % 100 / 20000.0::DOUBLE AS mo, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END AS energy FROM events
 )"""
 _audio = """q AS (SELECT item_id, quantile_cont(energy, 0.55) FILTER (energy > 0) AS lo, nullif(quantile_cont(energy, 0.95) FILTER (energy > 0), 0) AS sc FROM f GROUP BY item_id),
-au AS MATERIALIZED (SELECT item_id, frame_idx, coalesce(energy >= lo, false) AS audio_active, coalesce(greatest(0.0, least(1.0, energy / sc)), 0.0) AS audio_energy FROM f JOIN q USING (item_id))"""
+au AS MATERIALIZED (SELECT item_id, frame_idx, coalesce(energy >= lo, false) AS audio_active, CASE WHEN sc IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, energy / sc)) END AS audio_energy FROM f JOIN q USING (item_id))"""
 _runs = """r AS (SELECT item_id, run, count(*) FILTER (NOT visible) AS n FROM (SELECT *, sum(CAST({v} AS INTEGER)) OVER (PARTITION BY item_id ORDER BY frame_idx) AS run, {v} AS visible FROM {t}) GROUP BY item_id, run)"""
 _corr = "CASE WHEN count(*) FILTER ({c}) >= 3 AND coalesce(stddev_pop({x}) FILTER ({c}), 0) > 1e-6 AND coalesce(stddev_pop({y}) FILTER ({c}), 0) > 1e-6 THEN covar_pop({x}, {y}) FILTER ({c}) / (stddev_pop({x}) FILTER ({c}) * stddev_pop({y}) FILTER ({c})) ELSE 0 END"
 _metrics = f"""WITH {_frames}, {_audio},
