@@ -349,7 +349,8 @@ def _members(runs: DataFrame, k: int) -> DataFrame:
         if at:
             yield from give()
 
-    return runs.repartition("component").select("run", "count", "doc_id", "place", "seq").mapInArrow(run, MEMBER)
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that stays: small partitions hold little memory
+    return runs.repartition(parts, "component").select("run", "count", "doc_id", "place", "seq").mapInArrow(run, MEMBER)
 
 
 def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
