@@ -135,8 +135,28 @@ def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int,
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def tied(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(m, 2): pairs that tie together the same ids as the pairs of places (i, j) do, one for each id but the least of its set."""
+    names, at = np.unique(ids, return_inverse=True)
+    i, j = at[i], at[j]
+    low = np.arange(len(names))
+    while len(i):
+        was = low.copy()
+        a, b = low[i], low[j]
+        m = np.minimum(a, b)
+        np.minimum.at(low, np.r_[a, b, i, j], np.r_[m, m, m, m])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == was).all():
+            break
+        open_ = low[i] != low[j]
+        i, j = i[open_], j[open_]
+    other = np.flatnonzero(low != np.arange(len(names)))
+    return np.stack([names[low[other]], names[other]], axis=1)
+
+
 def near_pairs(fps: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES, cap: int = BUCKET_CAP, seed: int = 7) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, of distinct fingerprints (id, f0..f3) at most `distance` bits apart that share a bucket of some table.
+    """Pairs (a, b) of ids, a < b, that tie together all distinct fingerprints (id, f0..f3) at most `distance` bits apart that share a bucket of some table.
 
     Buckets start at as many sampled bits as would give BUCKET_MEAN fingerprints each, by the count of all fingerprints.
     """
@@ -160,7 +180,7 @@ def near_pairs(fps: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES
         col = lambda i: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held])
         ids = col(3)
         i, j = bucket_pairs(col(1), col(2).view(U), np.stack([col(4 + w).view(U) for w in range(4)], axis=1), bits, cap, distance)
-        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), axis=0)
+        pairs = tied(ids, i, j)
         for a in range(0, len(pairs), 1 << 16):
             yield pa.record_batch([pa.array(pairs[a : a + (1 << 16), 0]), pa.array(pairs[a : a + (1 << 16), 1])], ["a", "b"])
 
