@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 #: White space as Unicode has it; Java's \\s alone is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _SENTENCE = r"[^.!?]+[.!?]?"
@@ -34,15 +36,15 @@ def drop_repeated_sentences(text: Column) -> Column:
 
     A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before.
     """
-    parts = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.regexp_replace(casefold(normalize(s)), r"^[.!?]+|[.!?]+$", "").alias("k")))
-    kept = F.transform(
-        F.filter(
-            F.transform(F.arrays_zip(parts.alias("p"), F.concat(F.array(F.lit("")), F.transform(parts, lambda p: p["k"])).alias("b")), lambda z: F.struct(z["p"]["s"].alias("s"), z["p"]["k"].alias("k"), z["b"].alias("before"))),
-            lambda x: x["s"].isNotNull() & ((x["k"] == "") | (x["k"] != x["before"])),
-        ),
-        lambda x: x["s"],
-    )
-    return F.when(F.size(parts) == 0, normalize(text)).otherwise(normalize(F.array_join(kept, " ")))
+    flat = F.regexp_replace(text, f"{SPACE}+", " ")  # once for the whole text, so that sentences need none of it
+    bare = F.transform(F.regexp_extract_all(flat, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s))
+    parts = F.transform(bare, lambda s: F.struct(s.alias("s"), F.btrim(F.regexp_replace(casefold(s), r" +([,.!?;:])", "$1"), F.lit(".!?")).alias("k")))
+
+    def joined(p: Column) -> Column:
+        kept = F.filter(p, lambda x, i: (x["k"] == "") | (i == 0) | (x["k"] != F.get(p, i - 1)["k"]))
+        return F.when(F.size(p) > 0, F.array_join(F.transform(kept, lambda x: x["s"]), " "))
+
+    return normalize(F.coalesce(let(parts, joined), text))
 
 
 def unescape(text: Column) -> Column:

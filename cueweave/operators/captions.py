@@ -38,8 +38,9 @@ def drop_overlap(cues: DataFrame, *, item: str = "item_id", order: str = "ordina
     """
     w = Window.partitionBy(item).orderBy(order)
     rows = cues.withColumn("_w", tokens(F.col(text))).filter(F.size("_w") > 0).withColumn("_p", F.lag("_w").over(w))
-    overlap = F.expr("if(_p is null, 0, coalesce(array_max(filter(sequence(1, least(size(_p), size(_w))), k -> slice(_p, -k, k) = slice(_w, 1, k))), 0))")
-    rows = rows.withColumn("_o", overlap).filter(F.col("_o") < F.size("_w"))
+    overlap = F.expr("if(_p is null, 0, coalesce(array_max(filter(sequence(1, least(size(_p), size(_w))), k -> _w[k - 1] = _l and _p[size(_p) - k] = _f and slice(_p, -k, k) = slice(_w, 1, k))), 0))")
+    # the last and the first word rule nearly all lengths out before the slices are made
+    rows = rows.withColumns({"_l": F.element_at("_p", -1), "_f": F.element_at("_w", 1)}).withColumn("_o", overlap).filter(F.col("_o") < F.size("_w"))
     fresh = F.expr("array_join(slice(_w, _o + 1, size(_w)), ' ')")
     out = rows.withColumn(text, T.normalize(fresh)).filter(F.col(text) != "")
     return out.select(*cues.columns)

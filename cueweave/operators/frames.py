@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Visual
+from ..functions.core import let
 
 KEY = ("item_id", "segment_id")
 
@@ -156,15 +157,21 @@ def metrics(frames: DataFrame, cfg: Visual | None = None, *, fps: float = 25.0,
 
 def sharpness(pixels: Column, width: int) -> Column:
     """Variance of the Laplacian of a gray picture, given as rows in one array; the border is mirrored without its edge."""
-    at = lambda r, c: F.element_at(pixels, (r * width + c + 1).cast("int")).cast("double")
-    h = (F.size(pixels) / width).cast("int")
     up = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * n - 2 - v).otherwise(v)
-    lap = F.transform(
-        F.sequence(F.lit(0), F.size(pixels) - 1),
-        lambda i: at(up(F.floor(i / width) - 1, h), i % width) + at(up(F.floor(i / width) + 1, h), i % width) + at(F.floor(i / width), up(i % width - 1, F.lit(width))) + at(F.floor(i / width), up(i % width + 1, F.lit(width))) - 4 * at(F.floor(i / width), i % width),
-    )
-    mean = F.aggregate(lap, F.lit(0.0), lambda s, x: s + x) / F.size(lap)
-    return F.transform(F.array(F.struct(lap.alias("l"), mean.alias("m"))), lambda t: F.aggregate(t["l"], F.lit(0.0), lambda s, x: s + (x - t["m"]) * (x - t["m"])) / F.size(t["l"]))[0]
+
+    def laplacian(p: Column) -> Column:
+        h = F.floor(F.size(p) / width)
+        at = lambda r, c: F.get(p, (r * width + c).cast("int"))
+
+        def place(i: Column) -> Column:
+            r, c = F.floor(i / width), i % width
+            return at(up(r - 1, h), c) + at(up(r + 1, h), c) + at(r, up(c - 1, F.lit(width))) + at(r, up(c + 1, F.lit(width))) - 4 * at(r, c)
+
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1), place)
+
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    spread = lambda a: let(total(a) / F.size(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    return let(F.transform(pixels, lambda x: x.cast("double")), lambda p: let(laplacian(p), spread))
 
 
 def landmark_slice(segments: DataFrame, landmarks: DataFrame, *, fps: float = 25.0) -> DataFrame:
