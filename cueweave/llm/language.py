@@ -98,7 +98,8 @@ class Model:
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias of least squared hinge loss with an L2 penalty, by accelerated gradient steps; y is 1 or -1, classes weigh alike."""
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale.astype(np.float32), out=z[:, :-1])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v = np.ones(z.shape[1], np.float32)
     for _ in range(12):
@@ -125,7 +126,8 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> Model:
         out = []
         for a, b in combinations(names, 2):
             rows = (of == a) | (of == b)
-            out.append(Svm(a, b, *train_svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))))
+            some = x if rows.all() else x[rows]
+            out.append(Svm(a, b, *train_svm(some, np.where(of[rows] == a, 1, -1).astype(np.float32))))
         return out
 
     m.between = pairs(sorted(m.families), family)
@@ -151,14 +153,18 @@ def fit(docs: DataFrame, *, sample: int = 400, text: str = "text", lang: str = "
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 x, _ = profiles(data, off)
-                yield pa.record_batch([part.column(1), part.column(2), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["lang", "h", "x"])
+                yield pa.record_batch([part.column(1), part.column(2), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "h", "x"])
 
-    got = rows.mapInArrow(run, "lang string, h bigint, x binary").collect()
     per: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r.h, bytes(r.x))):
-        per.setdefault(r.lang, []).append(r.x)
-    langs = [k for k, v in sorted(per.items()) for _ in v[:sample]]
-    x = np.frombuffer(b"".join(bytes(b) for _, v in sorted(per.items()) for b in v[:sample]), np.float32).reshape(len(langs), -1)
+    for r in rows.mapInArrow(run, "lang string, h bigint, x binary").collect():  # half-precision numbers, two buckets' worth of bytes a row
+        per.setdefault(r.lang, []).append((r.h, bytes(r.x)))
+    chosen = {k: sorted(v)[:sample] for k, v in sorted(per.items())}
+    del per
+    langs = [k for k, v in chosen.items() for _ in v]
+    x = np.empty((len(langs), 2 * BUCKETS), np.float32)
+    for i, (_, row) in enumerate(v for k in chosen for v in chosen[k]):
+        x[i] = np.frombuffer(row, np.float16)
+    del chosen
     return fit_arrays(x, langs)
 
 
