@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,10 @@ def drop(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._cueweave_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow for tables with columns of any name, dots and all: `run` sees and gives batches whose columns go by place."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(run, out).toDF(*schema.names)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._state import map_rows
 from ._vec import chunks
 
 #: Buckets for the pairs and again for the triples of bytes.
@@ -269,4 +270,4 @@ def keep_accepted(docs: DataFrame, model: Model | None = None, *, least: float =
             ok = [predict(data, off)[3].astype(bool) for _, data, off in chunks(only, "text")]
             yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)

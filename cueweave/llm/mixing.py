@@ -44,8 +44,8 @@ def mixed(docs: DataFrame, weights: dict[str, float], *, other: float = 1.0, epo
     few = table.limit(BROADCAST_SOURCES + 1).collect()
     if len(few) <= BROADCAST_SOURCES:
         table = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], table.schema))
-    n = F.floor("_rate") + (coin(F.col(key), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
     out = docs.drop(copy)
-    names = [F.col(f"`{c}`") for c in out.columns]
-    joined = out.join(table, out[source].eqNullSafe(table["_source"]))
-    return joined.withColumn("_n", n.cast("int")).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias(copy))
+    rate = table["_rate"]
+    n = (F.floor(rate) + (coin(out[key], seed) < rate - F.floor(rate)).cast("int")).cast("int")
+    joined = out.join(table, out[source].eqNullSafe(table["_source"])).filter(n > 0)
+    return joined.select(*[out[f"`{c}`"] for c in out.columns], F.explode(F.sequence(F.lit(1), n)).alias(copy))

@@ -35,10 +35,10 @@ def _fold() -> np.ndarray:
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) words of each text's fingerprint, and whether the text has any word.
+    """(n, 4) words of each text's fingerprint, and whether the text has any feature.
 
-    The features are the distinct pairs of neighbouring words, ASCII case and punctuation aside; of a single word, that word. A tied bit
-    takes that of the least feature.
+    The features are the distinct pairs of neighbouring words, ASCII case and punctuation aside; of a single word, that word; of signs alone,
+    the text itself. A tied bit takes that of the least feature. A text of white space alone has none.
     """
     n = len(off) - 1
     folded = _fold()[data]
@@ -49,7 +49,10 @@ def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndar
     pairs = window_hash(h, 2, pw)
     inside = doc[:-1] == doc[1:] if len(doc) else np.zeros(0, bool)
     single = count[doc] == 1 if len(doc) else np.zeros(0, bool)
-    key = np.r_[(doc[:-1][inside].astype(U) << U(48)) | (pairs[inside] >> U(16)), (doc[single].astype(U) << U(48)) | (h[single] >> U(16))]
+    solid = np.r_[0, np.cumsum(data > 32)]
+    bare = np.flatnonzero((count == 0) & (solid[off[1:]] > solid[off[:-1]]))
+    whole = span_hash(data, off[bare], off[bare + 1], pw)
+    key = np.r_[(bare.astype(U) << U(48)) | (whole >> U(16)), (doc[:-1][inside].astype(U) << U(48)) | (pairs[inside] >> U(16)), (doc[single].astype(U) << U(48)) | (h[single] >> U(16))]
     key.sort()
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     owner = (key >> U(48)).astype(np.int64)
@@ -74,7 +77,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndar
 
 
 def fingerprint_table(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, f0..f3) of each row with a key and at least one word."""
+    """(doc_id, f0..f3) of each row with a key and more than white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -196,7 +199,7 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, tables: int = TABL
     """(doc_id, group_id, group_size, kept) of each document that has a near copy; one of each group, the least doc_id, is kept.
 
     Groups are the connected components of pairs of fingerprints at most `distance` bits apart. Equal fingerprints always meet; others
-    meet by bit sampling, whose recall is under test. A document without a near copy, without a word (null, empty, only signs) or with a
+    meet by bit sampling, whose recall is under test. A document without a near copy, without text (null, empty, white space) or with a
     null key is in no row. Repeated rows are one document; a key with several texts has each of them looked at. Other columns play no part.
     """
     fps = written(fingerprint_table(docs, text=text, key=key).distinct(), "fingerprints")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._state import written
+from ._state import map_rows, written
 from ._vec import Powers, U, chunks, mix, sliding_argmin, span_hash, token_bounds, window_hash
 
 #: Least length of a repeat, and of a seed, in tokens.
@@ -398,8 +398,8 @@ def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = S
     per = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_sub")).agg(F.collect_set(F.struct("start", "dup_length")).alias("_spans"))
     per = written(per, "spans")
     _release(docs)
-    sub = F.shiftright(F.xxhash64(F.col(text).cast("string")), 32).cast("bigint")
-    joined = docs.withColumn("_key_sub", sub).join(per, (F.col(key) == F.col("_doc")) & (F.col("_key_sub") == F.col("_sub")), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    sub = F.shiftright(F.xxhash64(docs[text].cast("string")), 32).cast("bigint")
+    joined = docs.join(per, (docs[key] == per["_doc"]) & (sub == per["_sub"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], per["_spans"])
     at = docs.columns.index(text)
     has = docs.columns.index(length) if length in docs.columns else None
 
@@ -424,7 +424,7 @@ def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = S
                 cols[has] = pa.array(counts, cols[has].type)
             yield pa.record_batch(cols, batch.schema.names[:-1]).filter(pa.array(~gone))
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_rows(joined, run, docs.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

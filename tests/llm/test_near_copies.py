@@ -69,13 +69,13 @@ def test_recall_on_driver_table(spark):
 
 def test_edges(spark):
     long = "a b c d e " * 30000
-    data = [(None, "x y z", 1), (None, "x y z", 1), (1, None, 2), (2, "", 3), (3, "!!! ...", 4), (4, "x y z", 5), (4, "x y z", 5), (9, "X, y z!", 5), (5, long, 6), (6, long + "f", 7), (7, "solo", None)]
+    data = [(None, "x y z", 1), (None, "x y z", 1), (1, None, 2), (2, "", 3), (3, "!!! ...", 4), (10, "!!! ...", 4), (11, "??", 4), (12, " \n", 4), (13, " \n", 4), (4, "x y z", 5), (4, "x y z", 5), (9, "X, y z!", 5), (5, long, 6), (6, long + "f", 7), (7, "solo", None)]
     df = rows(spark, data, ", group_id int")
     got = sorted(tuple(r) for r in N.near_copies(df).collect())
-    assert got == [(4, 4, 2, True), (5, 5, 2, True), (6, 5, 2, False), (9, 4, 2, False)]
+    assert got == [(3, 3, 2, True), (4, 4, 2, True), (5, 5, 2, True), (6, 5, 2, False), (9, 4, 2, False), (10, 3, 2, False)]
     left = N.drop_copies(df)
     assert left.columns == df.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, d) for d in (1, 2, 3, 4, 5, 7)] + [(True, 0)] * 2
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, d) for d in (1, 2, 3, 4, 5, 7, 11, 12, 13)] + [(True, 0)] * 2
     assert N.near_copies(df.limit(0)).count() == 0
     assert N.drop_copies(df.limit(0)).count() == 0
 
