@@ -11,14 +11,14 @@ from typing import Any
 class Segmentation:
     """Bounds of a segment, in seconds and words."""
 
-    min_duration: float = 2.0
-    max_duration: float = 16.0
-    pad_seconds: float = 0.12
-    subtitle_end_pad_seconds: float = 0.60
     max_gap_seconds: float = 0.65
+    pad_seconds: float = 0.12
     min_words: int = 2
-    split_on_scene_cut: bool = True
+    min_duration: float = 2.0
     scene_cut_threshold: float = 0.30
+    subtitle_end_pad_seconds: float = 0.60
+    split_on_scene_cut: bool = True
+    max_duration: float = 16.0
 
 
 #: (metric, better when, accept bound, review bound, reason, only where lip sync is verified), in the order in which reasons are given.
@@ -37,38 +37,38 @@ CHECKS = (
 class Visual:
     """How frames are sampled and judged."""
 
+    mouth_opening_motion_floor: float = 0.0025
+    landmark_jump_threshold: float = 0.18
+    mouth_motion_floor: float = 0.018
+    reject_voiceover_review_segments: bool = True
+    audio_activity_quantile: float = 0.55
     sample_every_n_frames: int = 5
+    mouth_shape_motion_floor: float = 0.0035
     reject_voiceover_segments_before_seconds: float = 15.0
-    reject_voiceover_review_segments: bool = True
     scene_cut_hist_threshold: float = 0.58
-    mouth_motion_floor: float = 0.018
-    mouth_shape_motion_floor: float = 0.0035
-    mouth_opening_motion_floor: float = 0.0025
-    audio_activity_quantile: float = 0.55
-    landmark_jump_threshold: float = 0.18
 
 
 @dataclass(frozen=True)
 class Speaker:
     """Face tracks and who of them speaks."""
 
-    min_track_coverage: float = 0.80
-    max_faces: int = 6
     track_iou_threshold: float = 0.25
+    review_min_speaking_ratio: float = 0.40
     sample_every_n_frames: int = 5
     min_speaking_probability: float = 0.60
+    max_faces: int = 6
     accept_min_speaking_ratio: float = 0.65
-    review_min_speaking_ratio: float = 0.40
+    min_track_coverage: float = 0.80
 
 
 @dataclass(frozen=True)
 class Gate:
     """Bounds of the last decision on a clip."""
 
+    min_sharpness: float = 18.0
+    min_face_coverage: float = 0.80
     min_asr_confidence: float = 0.72
     min_active_speaker_score: float = 0.18
-    min_face_coverage: float = 0.80
-    min_sharpness: float = 18.0
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def verifies_lip_sync(profile: str) -> bool:
     return PROFILES[profile]
 
 
-def overlay(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
+def overlay(base: dict, over: dict) -> dict:
     """`base` with what `over` has; sections merge, anything else is replaced."""
     both = {k: overlay(v, over[k]) if isinstance(v, dict) and isinstance(over.get(k), dict) else over.get(k, v) for k, v in base.items()}
     return both | {k: v for k, v in over.items() if k not in base}

@@ -11,7 +11,7 @@ from .core import let
 
 #: White space as Unicode has it; Java's \\s alone is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-_SENTENCE = r"[^.!?]+[.!?]?"
+_SENTENCE = r"[^!?.]+[!?.]?"
 _ENTITY = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
 
 
@@ -72,13 +72,13 @@ def clean_markup(text: Column, references=entities) -> Column:
 
 def safe_id(value: Column) -> Column:
     """At most 100 of letters, digits, dot, underscore and hyphen; a hash where nothing is left."""
-    clean = F.btrim(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    clean = F.btrim(F.regexp_replace(value, "[^0-9A-Za-z._-]+", "_"), F.lit("._-"))
     return F.when(clean != "", F.substring(clean, 1, 100)).otherwise(F.substring(F.sha1(F.encode(value, "utf-8")), 1, 16))
 
 
 def slug(name: Column) -> Column:
     """Lower case with hyphens, for a folder's name; `unknown` where nothing is left."""
-    clean = F.btrim(F.regexp_replace(F.lower(F.btrim(name)), "[^a-z0-9._-]+", "-"), F.lit("-._"))
+    clean = F.btrim(F.regexp_replace(F.lower(F.btrim(name)), "[^0-9a-z._-]+", "-"), F.lit("-._"))
     return F.when(F.coalesce(clean, F.lit("")) != "", clean).otherwise("unknown")
 
 

@@ -41,9 +41,14 @@ def boxes(found: Column, width: Column, height: Column, *, analysis_width: int =
 def follow(frames: list[tuple[int, list[tuple[int, int, int, int]]]], threshold: float) -> list[list[tuple[int, int]]]:
     """Tracks, as lists of (frame index, box number). In the order they began, each takes the free box that overlaps its last one most, if by the threshold; of equals, the later box. The boxes left over begin tracks, which never end."""
 
-    def overlap(a: tuple, b: tuple) -> float:
-        inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-        return inter / max(1, (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+    def area(box: tuple) -> int:
+        left, top, right, bottom = box
+        return (right - left) * (bottom - top)
+
+    def overlap(p: tuple, q: tuple) -> float:
+        corner, far = [max(u, v) for u, v in zip(p[:2], q[:2])], [min(u, v) for u, v in zip(p[2:], q[2:])]
+        common = area((*corner, *far)) if all(lo < hi for lo, hi in zip(corner, far)) else 0
+        return common / max(1, area(p) + area(q) - common)
 
     tracks: list[list[tuple[int, int]]] = []
     last: list[tuple] = []

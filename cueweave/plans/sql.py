@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import CHECKS
+from ..operators.verdict import METRICS
 
 SQL: dict[str, str] = {}
 
@@ -13,20 +14,20 @@ def norm(x: str) -> str:
 
 def sentence_dedup(x: str) -> str:
     """Sentences whose key differs from the one before, or has nothing in it."""
-    parts = f"list_transform(regexp_extract_all({x}, '[^.!?]+[.!?]?'), lambda s: trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g')))"
+    parts = f"list_transform(regexp_extract_all({x}, '[^!?.]+[!?.]?'), lambda s: trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g')))"
     key = lambda s: f"regexp_replace(replace(lower({norm(s)}), 'ß', 'ss'), '^[.!?]+|[.!?]+$', '', 'g')"
     keys = f"list_transform({parts}, lambda s: {key('s')})"
     kept = f"list_transform(list_filter(list_zip({parts}, {keys}, list_concat([''], {keys})[:-2]), lambda z: z[2] = '' OR z[2] <> z[3]), lambda z: z[1])"
-    return f"CASE WHEN len(regexp_extract_all({x}, '[^.!?]+[.!?]?')) = 0 THEN {norm(x)} ELSE {norm(f'array_to_string({kept}, chr(32))')} END"
+    return f"CASE WHEN len(regexp_extract_all({x}, '[^!?.]+[!?.]?')) = 0 THEN {norm(x)} ELSE {norm(f'array_to_string({kept}, chr(32))')} END"
 
 
 def safe_id(x: str) -> str:
-    clean = f"trim(regexp_replace({x}, '[^A-Za-z0-9._-]+', '_', 'g'), '._-')"
+    clean = f"trim(regexp_replace({x}, '[^0-9A-Za-z._-]+', '_', 'g'), '._-')"
     return f"CASE WHEN {clean} <> '' THEN left({clean}, 100) ELSE left(sha1({x}), 16) END"
 
 
 def slug(x: str) -> str:
-    clean = f"trim(regexp_replace(lower(trim({x})), '[^a-z0-9._-]+', '-', 'g'), '-._')"
+    clean = f"trim(regexp_replace(lower(trim({x})), '[^0-9a-z._-]+', '-', 'g'), '-._')"
     return f"CASE WHEN {clean} <> '' THEN {clean} ELSE 'unknown' END"
 
 
@@ -153,7 +154,7 @@ met AS MATERIALIZED (
     coalesce(count(*) FILTER (unstable AND visible) / nullif(count(*) FILTER (visible), 0), 1.0) AS unstable_landmark_ratio
   FROM h JOIN (SELECT item_id, max(n) AS longest FROM r GROUP BY item_id) USING (item_id) GROUP BY item_id
 )"""
-_names = ["mouth_visible_ratio", "scene_cut_ratio", "static_speech_ratio", "speech_mouth_motion_ratio", "lip_sync_correlation", "mouth_opening_correlation", "max_missing_run_seconds", "unstable_landmark_ratio"]
+_names = METRICS
 SQL["frame_sampled_metrics"] = _metrics + "SELECT item_id, " + ", ".join(f"round({n}, 7) AS {n}" for n in _names) + " FROM met"
 SQL["missing_run"] = f"WITH {_frames}, {_runs.format(v='visible', t='f').replace('SELECT *, sum', 'SELECT item_id, frame_idx, sum')} SELECT item_id, max(n) AS longest FROM r GROUP BY item_id"
 SQL["audio_activity"] = f"WITH {_frames}, {_audio} SELECT item_id, frame_idx, audio_active, round(audio_energy, 8) AS audio_energy FROM au"
