@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ._state import map_rows
 from ._vec import chunks
 
+Pair = tuple[np.ndarray, np.ndarray]
 #: Buckets for the pairs and again for the triples of bytes.
 BUCKETS = 4096
 #: Families of closely related languages; a language that isn't named is a family of its own.
@@ -69,7 +70,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return pair, triple, to, letters
 
 
-def profiles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def profiles(data: np.ndarray, off: np.ndarray) -> Pair:
     """Relative frequencies of the grams of each text (dense), and its letters."""
     pair, triple, to, letters = grams(data, off)
     out = np.zeros((len(off) - 1, 2 * BUCKETS + 1), np.float32)
@@ -188,7 +189,7 @@ def predictor(model: Model, least: float):
         table[:-1, i] = s.weights
     bias = np.array([s.bias for s in svms])
 
-    def vote(names: list[str], ms: list[Svm], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vote(names: list[str], ms: list[Svm], z: np.ndarray) -> Pair:
         """Most votes, then the largest sum of margins; the margin is the least one by which the winner won."""
         if len(names) == 1:
             return np.zeros(len(z), np.int64), np.full(len(z), np.inf)

@@ -24,6 +24,7 @@ BUCKET_CAP = 512
 #: Fingerprints a bucket would have at its first bits if bits were fair.
 BUCKET_MEAN = 64
 FP = ["f0", "f1", "f2", "f3"]
+Pair = tuple[np.ndarray, np.ndarray]
 
 
 def _fold() -> np.ndarray:
@@ -34,7 +35,7 @@ def _fold() -> np.ndarray:
     return t
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> Pair:
     """(n, 4) words of each text's fingerprint, and whether the text has any feature.
 
     The features are the distinct pairs of neighbouring words, ASCII case and punctuation aside; of a single word, that word; of signs alone,
@@ -101,7 +102,7 @@ def sampled_keys(fp: np.ndarray, tables: int, seed: int) -> np.ndarray:
     return out
 
 
-def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, cap: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, cap: int, distance: int) -> Pair:
     """Places (i, j) of fingerprints that share a bucket and differ in at most `distance` bits.
 
     A bucket over the cap is split by one more sampled bit at a time. One that all 64 bits leave over the cap is compared as it is.
