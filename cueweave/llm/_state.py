@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = getattr(spark.sparkContext, "_cueweave_shared", None)
         if where is None:
-            where = "file://" + tempfile.mkdtemp(prefix="cueweave-")
+            own = tempfile.mkdtemp(prefix="cueweave-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            where = "file://" + own
             spark.sparkContext._cueweave_shared = where
     return where.rstrip("/")
 
