@@ -29,10 +29,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     kind = edges.schema[a].dataType.simpleString()
     e = edges.select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).filter(f"`{a}` is not null and `{b}` is not null")
-    loops = None
     e = written(e.distinct(), "edges")
     now = e.filter("u != v").select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    loops = e
     table = e.filter("u != v")
     held = None
     while now[0]:
@@ -43,6 +41,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         table = held = nxt
         if tuple(now) == tuple(was):
             break
-    nodes = loops.select(F.col("v").alias("node")).union(loops.select("u")).distinct()
+    nodes = e.select(F.col("v").alias("node")).union(e.select("u")).distinct()
     to = table.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = written(nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    drop(e, *([held] if held is not None else []))
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._state import written
+from ._state import drop, written
 from ._vec import Powers, U, chunks, mix, span_hash, token_bounds, window_hash
 
 BITS = 256
@@ -210,7 +210,9 @@ def near_copies(docs: DataFrame, *, distance: int = DISTANCE, tables: int = TABL
     named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*FP, F.coalesce("component", "id").alias("group_id"))
     members = fps.join(named, FP).select("doc_id", "group_id").distinct()
     sizes = members.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("least")).filter("group_size > 1")
-    return members.join(sizes, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("least")).alias("kept"))
+    out = written(members.join(sizes, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("least")).alias("kept")), "near-copies")
+    drop(fps, reps, groups)
+    return out
 
 
 def drop_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
-from ._state import map_rows, written
+from ._state import drop, map_rows, written
 from ._vec import Powers, U, chunks, mix, sliding_argmin, span_hash, token_bounds, window_hash
 
 #: Least length of a repeat, and of a seed, in tokens.
@@ -371,13 +371,16 @@ def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED,
     distinct = runs.groupBy("run").agg(F.count("*").cast("int").alias("count"), F.min(F.struct("doc_id", "place")).alias("first"), F.max("seq").alias("seq"))
     distinct = written(distinct.select("run", "count", "first.doc_id", "first.place", "seq"), "distinct-runs")
     _release(docs)
-    named = components(_edges(distinct), "a", "b").withColumnRenamed("node", "run")
-    members = _members(distinct.join(named, "run", "left").withColumn("component", F.coalesce("component", "run")), min_tokens)
+    groups = components(_edges(distinct), "a", "b")
+    members = _members(distinct.join(groups.withColumnRenamed("node", "run"), "run", "left").withColumn("component", F.coalesce("component", "run")), min_tokens)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
     start = (F.col("place") - F.shiftleft(F.shiftright("place", 32), 32)).cast("int") + F.col("shift")
-    return members.join(runs.select("run", "doc_id", "place"), "run").select(
+    out = members.join(runs.select("run", "doc_id", "place"), "run").select(
         "repeat_id", "rank", "doc_id", start.alias("start"), "length", F.when(first, F.col("dup")).otherwise(F.col("whole")).alias("dup_length"), "groups", F.shiftright("place", 32).alias("text_key")
     )
+    out = written(out, "repeats")
+    drop(runs, distinct, groups)
+    return out
 
 
 def _release(df: DataFrame) -> None:
@@ -394,9 +397,10 @@ def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = S
     Of each repeat the first place stays, by (doc_id, start). A document of which no token is left goes; one without repeats, with a null
     key or a null text stays as it is.
     """
-    spans = repeats(docs, min_tokens=min_tokens, seed=seed, text=text, key=key).filter("dup_length > 0")
-    per = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_sub")).agg(F.collect_set(F.struct("start", "dup_length")).alias("_spans"))
+    found = repeats(docs, min_tokens=min_tokens, seed=seed, text=text, key=key)
+    per = found.filter("dup_length > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_sub")).agg(F.collect_set(F.struct("start", "dup_length")).alias("_spans"))
     per = written(per, "spans")
+    drop(found)
     _release(docs)
     sub = F.shiftright(F.xxhash64(docs[text].cast("string")), 32).cast("bigint")
     joined = docs.join(per, (docs[key] == per["_doc"]) & (sub == per["_sub"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], per["_spans"])
