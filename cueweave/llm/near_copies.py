@@ -23,6 +23,11 @@ TABLES = 32
 BUCKET_CAP = 512
 #: Fingerprints a bucket would have at its first bits if bits were fair.
 BUCKET_MEAN = 64
+#: Share of the pairs at `distance` that the first bits of all tables have to bring together; that the further tables of a bucket over the
+#: cap have to find again, and those of a bucket over the cap in one of these.
+MEET, AGAIN, DEEPER = 0.97, 0.8, 0.95
+#: Fingerprints of a bucket over the cap that all of it is compared with, so that one cluster of near copies is no reason to split.
+CENTRES = 8
 FP = ["f0", "f1", "f2", "f3"]
 Pair = tuple[np.ndarray, np.ndarray]
 
@@ -129,9 +134,10 @@ def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int,
     end = np.repeat(at[1:], sizes)
     left, right = [], []
     rows = np.arange(n)
+    words = [np.ascontiguousarray(fp[:, w]) for w in range(4)]
     shift = 1
     while len(rows := rows[rows + shift < end[rows]]):
-        d = np.bitwise_count(fp[rows] ^ fp[rows + shift]).sum(1)
+        d = sum(np.bitwise_count(f[rows] ^ f[rows + shift]).astype(np.int16) for f in words)
         hit = rows[d <= distance]
         left.append(order[hit])
         right.append(order[hit + shift])
@@ -139,6 +145,106 @@ def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int,
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def agree(bits: int, distance: int, of: int = BITS) -> float:
+    """Chance that two fingerprints `distance` bits apart are equal in `bits` bits, drawn without repeats from `of`."""
+    return math.prod(max(0, of - distance - i) / (of - i) for i in range(bits))
+
+
+def tables_for(bits: int, distance: int, share: float, of: int = BITS) -> int:
+    """Tables of `bits` sampled bits that bring together that share of the pairs at `distance`."""
+    p = agree(bits, distance, of)
+    return 1 if p >= share else math.ceil(math.log1p(-share) / math.log1p(-p))
+
+
+def first_bits(n: int, tables: int, distance: int) -> int:
+    """Bits of the buckets that are shuffled: as would give BUCKET_MEAN of n fingerprints each, but no more than the tables' recall allows."""
+    bits = max(6, math.ceil(math.log2(n / BUCKET_MEAN + 1)))
+    while bits > 1 and 1 - (1 - agree(bits, distance)) ** tables < MEET:
+        bits -= 1
+    return bits
+
+
+def _drawn(fp: np.ndarray, free: np.ndarray, bits: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the fingerprints by `bits` bits drawn from the free ones, where its buckets begin and how large they are, and the bits."""
+    pick = rng.choice(free, bits, replace=False)
+    key = np.zeros(len(fp), np.uint32)
+    for i, bit in enumerate(pick):
+        key |= ((fp[:, bit >> 6] >> U(bit & 63)) & U(1)).astype(np.uint32) << np.uint32(i)
+    order = np.argsort(key.astype(np.uint16) if bits <= 16 else key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return order, at, np.diff(np.r_[at, len(key)]), pick
+
+
+def large_ties(fp: np.ndarray, free: np.ndarray, cap: int, distance: int, share: float, rng: np.random.Generator) -> Pair:
+    """Places (i, j) that tie together fingerprints of one bucket over the cap at most `distance` bits apart.
+
+    Tables of further bits, as many as find `share` of the pairs at `distance`. What the centres tie together needs no splitting: where they
+    leave no more than the cap, or tables would compare more, all that is left is compared with the whole bucket.
+    """
+    m = len(fp)
+    label = np.arange(m)
+    left, right = [], []
+    for c in rng.choice(m, min(CENTRES, m), replace=False):
+        hit = np.flatnonzero(np.bitwise_count(fp ^ fp[c]).sum(1) <= distance)
+        left.append(np.full(len(hit), c))
+        right.append(hit)
+        label[np.isin(label, label[hit])] = label[hit].min()
+    most = np.bincount(label).argmax()
+    rest = np.flatnonzero(label != most)
+    bits = math.ceil(math.log2(m / BUCKET_MEAN + 1))
+    spare = len(free) - distance
+    count = 0
+    if len(rest) > cap and bits <= spare:
+        order, at, sizes, pick = _drawn(fp, free, bits, rng)
+        while (sizes.astype(float) ** 2).sum() > 4 * BUCKET_MEAN * m and bits + 2 <= min(24, spare):  # bits that agree more often than fair ones
+            bits += 2
+            order, at, sizes, pick = _drawn(fp, free, bits, rng)
+        count = tables_for(bits, distance, share, len(free))
+    if 0 < count * 2 * BUCKET_MEAN < len(rest):
+        for t in range(count):
+            if t:
+                order, at, sizes, pick = _drawn(fp, free, bits, rng)
+            few = np.repeat(sizes <= cap, sizes)
+            rows = order[few]
+            i, j = bucket_pairs(np.repeat(np.arange(len(sizes)), sizes)[few], np.zeros(len(rows), U), fp[rows], 64, cap, distance)
+            left.append(rows[i])
+            right.append(rows[j])
+            for b in np.flatnonzero(sizes > cap):
+                rows = order[at[b] : at[b] + sizes[b]]
+                i, j = large_ties(fp[rows], np.setdiff1d(free, pick), cap, distance, DEEPER, rng)
+                left.append(rows[i])
+                right.append(rows[j])
+    else:
+        for r in rest:
+            hit = np.flatnonzero(np.bitwise_count(fp ^ fp[r]).sum(1) <= distance)
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            left.append(np.full(len(hit), r))
+            right.append(hit)
+    pairs = tied(np.arange(m), np.concatenate(left), np.concatenate(right))
+    return pairs[:, 0], pairs[:, 1]
+
+
+def bucket_ties(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, cap: int, distance: int, seed: int) -> Pair:
+    """Places (i, j) that tie together fingerprints that share a bucket and differ in at most `distance` bits, each pair of a bucket up to the cap."""
+    head = key >> U(64 - bits)
+    order = np.lexsort((head, table))
+    t, h = table[order], head[order]
+    at = np.flatnonzero(np.r_[np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (h[1:] != h[:-1])])
+    sizes = np.diff(np.r_[at, len(t)])
+    few = order[np.repeat(sizes <= cap, sizes)]
+    i, j = bucket_pairs(table[few], key[few], fp[few], bits, cap, distance)
+    left, right = [few[i]], [few[j]]
+    for b in np.flatnonzero(sizes > cap):
+        rows = order[at[b] : at[b] + sizes[b]]
+        same = np.bitwise_or.reduce(fp[rows] ^ fp[rows[0]], axis=0)  # bits in which the bucket differs
+        free = np.flatnonzero((same[np.arange(BITS) >> 6] >> (np.arange(BITS) & 63).astype(U)) & U(1))
+        i, j = large_ties(fp[rows], free, cap, distance, AGAIN, np.random.default_rng([seed, int(t[at[b]]), int(h[at[b]])]))
+        left.append(rows[i])
+        right.append(rows[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def tied(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """(m, 2): pairs that tie together the same ids as the pairs of places (i, j) do, one for each id but the least of its set."""
     names, at = np.unique(ids, return_inverse=True)
@@ -162,10 +268,10 @@ def tied(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_pairs(fps: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES, cap: int = BUCKET_CAP, seed: int = 7) -> DataFrame:
     """Pairs (a, b) of ids, a < b, that tie together all distinct fingerprints (id, f0..f3) at most `distance` bits apart that share a bucket of some table.
 
-    Buckets start at as many sampled bits as would give BUCKET_MEAN fingerprints each, by the count of all fingerprints.
+    Buckets are of as many sampled bits as leave the tables' recall at MEET, whatever the count of all fingerprints; those over the cap are
+    gone through again, by tables of further bits, in the task that has them.
     """
-    n = fps.count()
-    bits = min(40, max(6, math.ceil(math.log2(n / BUCKET_MEAN + 1))))
+    bits = first_bits(fps.count(), tables, distance)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +289,7 @@ def near_pairs(fps: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES
             return
         col = lambda i: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held])
         ids = col(3)
-        i, j = bucket_pairs(col(1), col(2).view(U), np.stack([col(4 + w).view(U) for w in range(4)], axis=1), bits, cap, distance)
+        i, j = bucket_ties(col(1), col(2).view(U), np.stack([col(4 + w).view(U) for w in range(4)], axis=1), bits, cap, distance, seed)
         pairs = tied(ids, i, j)
         for a in range(0, len(pairs), 1 << 16):
             yield pa.record_batch([pa.array(pairs[a : a + (1 << 16), 0]), pa.array(pairs[a : a + (1 << 16), 1])], ["a", "b"])

@@ -84,3 +84,43 @@ def test_edges(spark):
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     assert {r.node: r.component for r in components(df, "a", "b").collect()} == want
+
+
+def planted(rng, n, pairs, distance):
+    """Random fingerprints, the last `pairs` of which are the first ones with `distance` bits turned."""
+    fp = rng.integers(0, 2**64, (n, 4), dtype=U)
+    for i in range(pairs):
+        fp[n - 1 - i] = fp[i]
+        for bit in rng.choice(N.BITS, distance, replace=False):
+            fp[n - 1 - i, bit >> 6] ^= U(1) << U(bit & 63)
+    return fp
+
+
+@pytest.mark.parametrize("bits", [12, 18])
+def test_recall_at_the_count_of_a_large_corpus(spark, monkeypatch, bits):
+    n, pairs = 1000, 400
+    fp = planted(np.random.default_rng(4), n, pairs, N.DISTANCE).view(np.int64)
+    monkeypatch.setattr(N, "BUCKET_MEAN", n / (2**bits - 1))  # as many bits as a corpus of 64 * 2**bits would have asked for
+    fps = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fp)], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = {(r.a, r.b) for r in N.near_pairs(fps).collect()}
+    assert sum((i, n - 1 - i) in got for i in range(pairs)) >= 0.9 * pairs
+
+
+def test_recall_of_buckets_over_the_cap():
+    n, pairs, tables = 8000, 150, 6
+    fp = planted(np.random.default_rng(5), n, pairs, N.DISTANCE)
+    fp[pairs : pairs + 2000] = fp[pairs]
+    fp[np.arange(pairs, pairs + 2000), 0] ^= np.arange(2000, dtype=U)  # a cluster of near copies larger than the cap
+    keys = N.sampled_keys(fp, tables, 3)
+    bits = 1
+    i, j = N.bucket_ties(np.repeat(np.arange(tables), n), keys.reshape(-1), np.tile(fp, (tables, 1)), bits, 512, N.DISTANCE, 3)
+    assert (np.bitwise_count(fp[i % n] ^ fp[j % n]).sum(1) <= N.DISTANCE).all()
+    pairs_got = {(int(a), int(b)) for a, b in N.tied(np.arange(n), i % n, j % n)}
+    assert sum((p, n - 1 - p) in pairs_got for p in range(pairs)) >= 0.9 * pairs
+    assert all((pairs, pairs + k) in pairs_got for k in range(1, 2000))
+
+
+def test_first_bits_leave_recall_at_any_count():
+    for n in (0, 1000, 240_000, 14_000_000, 10**10):
+        bits = N.first_bits(n, N.TABLES, N.DISTANCE)
+        assert 1 - (1 - N.AGAIN * N.agree(bits, N.DISTANCE)) ** N.TABLES >= 0.9
