@@ -142,9 +142,9 @@ def _windows(table: DataFrame, key: str, text: str, lengths: list[int] | None, h
 def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, exact) of each document that holds a window of a benchmark item, numbers, names and units aside.
 
-    Windows that lie on one line (the same distance from the item's start) count together, and only if their slots are consistent: what
-    stands in a slot of the item always goes with one thing in the document, and the other way round. `windows` is how many; `exact` is
-    whether some line has every slot as in the item. A window with few plain words must be equal word for word. Items of fewer than LEAST
+    Windows that lie on one line (the same distance from the item's start) count together if their slots are consistent: what stands in a
+    slot of the item always goes with one thing in the document, and the other way round. Of a line that isn't consistent, the windows that
+    are equal word for word count. `windows` is how many; `exact` is whether some line has every slot as in the item. A window with few plain words must be equal word for word. Items of fewer than LEAST
     words, rows with a null key and null texts match nothing; repeated rows count once. Other columns play no part.
     """
     bench = _windows(benchmark, item, item_text, None, None)
@@ -155,9 +155,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: s
     found = _windows(docs, key, text, lengths, hits).withColumnsRenamed({"id": "doc_id", "at": "p", "slots": "ds"})
     both = found.join(bench.withColumnsRenamed({"id": "item_id", "at": "q", "slots": "bs"}), ["h", "n"])
     pair = F.zip_with("ds", "bs", lambda d, b: F.struct(b["v"].alias("b"), d["v"].alias("d")))
-    lines = both.groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("line")).agg(F.count_distinct("p").alias("n"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("s"))
+    literal = F.when(F.forall(pair, lambda x: x["b"] == x["d"]), F.col("p"))
+    lines = both.groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("line")).agg(
+        F.count_distinct("p").alias("n"), F.count_distinct(literal).alias("same"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("s")
+    )
     one = F.size("s")
-    lines = lines.filter((F.size(F.array_distinct("s.b")) == one) & (F.size(F.array_distinct("s.d")) == one))
+    consistent = (F.size(F.array_distinct("s.b")) == one) & (F.size(F.array_distinct("s.d")) == one)
+    lines = lines.withColumn("n", F.when(consistent, F.col("n")).otherwise(F.col("same"))).filter("n > 0")
     return lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("windows"), F.max(F.forall("s", lambda x: x["b"] == x["d"])).alias("exact"))
 
 

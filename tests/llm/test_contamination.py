@@ -60,3 +60,18 @@ def test_edges(spark):
     left = C.drop_contaminated(df, b)
     assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 5]
     assert C.matches(df.limit(0), b).count() == 0 and C.matches(df, b.limit(0)).count() == 0
+
+
+def test_windows_equal_word_for_word_count_on_an_inconsistent_line(spark):
+    plain = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80))
+    item = "first 12 of them " + plain + " and then 12 again with 7 or 8 more"
+    docs = [(1, item.replace("then 12", "then 13")), (2, item.replace("7", "5").replace("8", "5")), (3, item)]
+    got = {r.doc_id: r for r in C.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), bench(spark, item)).collect()}
+    w = item.split()
+    at = lambda i: set(range(max(0, i - 12), min(i, len(w) - 13) + 1))  # windows over the word at i
+    total = len(w) - 12
+    second = len(w) - 7
+    assert w[second] == "12" and set(got) == {1, 2, 3}
+    assert got[1].windows == total - len(at(second)) and not got[1].exact
+    assert got[2].windows == total - len(at(w.index("7")) | at(w.index("8"))) and not got[2].exact
+    assert got[3].windows == total and got[3].exact
