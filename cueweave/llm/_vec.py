@@ -1,6 +1,7 @@
 """Whole-text hashing over flat byte buffers, a chunk of documents at a time, without a Python object per token.
 
-A token is a maximal run of bytes above 0x20 (white space is ASCII white space and control characters).
+A token is a maximal run of characters that are no white space (ASCII white space and control characters, and Unicode's spaces), but for those
+of scripts that are written without spaces (SCRIPTS): each of them is a token.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ CHUNK = 1 << 20
 #: Texts worked on at once.
 CHUNK_TEXTS = 2048
 U = np.uint64
+#: Code points beyond ASCII that are white space, and those of scripts written without spaces, with the same as parts of a regular expression.
+SPACES = ((0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+SCRIPTS = ((0xE00, 0x109F), (0x1780, 0x17FF), (0x3040, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
+SPACE_CLASS, SCRIPT_CLASS = ("".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in of) for of in (SPACES, SCRIPTS))
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -59,14 +64,32 @@ class Powers:
         return self.p, self.q
 
 
+def _within(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
+
+
 def token_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of each token, and the offsets of each text's tokens."""
+    """First byte and end of each token, and the offsets of each text's tokens; the texts are UTF-8."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     word = np.zeros(n + 2, bool)
     word[1:-1] = data > 32
     inner = word[1:-1]
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[_within(data[two + 1], SPACES[:2])]
+    inner[two] = inner[two + 1] = False
+    for lead, size in ((data[:-2] & 0xF0) == 0xE0, 3), ((data[:-3] & 0xF8) == 0xF0, 4):
+        at = np.flatnonzero(lead)
+        if not len(at):
+            continue
+        code = data[at].astype(np.int64) & (0xFF >> (size + 1))
+        for i in range(1, size):
+            code = code << 6 | (data[at + i] & 0x3F)
+        blank, alone = at[_within(code, SPACES)], at[_within(code, SCRIPTS)]
+        for i in range(size):
+            inner[blank + i] = False
+        edge[alone] = edge[alone + size] = True
     starts = np.flatnonzero(inner & (~word[:-2] | edge[:-1]))
     ends = np.flatnonzero(inner & (~word[2:] | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, off)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ BUCKET_MEAN = 64
 #: Share of the pairs at `distance` that the first bits of all tables have to bring together; that the further tables of a bucket over the
 #: cap have to find again, and those of a bucket over the cap in one of these.
 MEET, AGAIN, DEEPER = 0.97, 0.8, 0.95
+#: A bucket of more fingerprints than HOLD is split before the shuffle, by tables of SPLIT further bits, as often as DEPTH.
+HOLD, SPLIT, DEPTH = 1 << 20, 6, 3
 #: Fingerprints of a bucket over the cap that all of it is compared with, so that one cluster of near copies is no reason to split.
 CENTRES = 8
 FP = ["f0", "f1", "f2", "f3"]
@@ -57,6 +59,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> Pair:
     single = count[doc] == 1 if len(doc) else np.zeros(0, bool)
     solid = np.r_[0, np.cumsum(data > 32)]
     bare = np.flatnonzero((count == 0) & (solid[off[1:]] > solid[off[:-1]]))
+    bare = bare[[len(token_bounds(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))[0]) > 0 for i in bare]] if len(bare) else bare
     whole = span_hash(data, off[bare], off[bare + 1], pw)
     key = np.r_[(bare.astype(U) << U(48)) | (whole >> U(16)), (doc[:-1][inside].astype(U) << U(48)) | (pairs[inside] >> U(16)), (doc[single].astype(U) << U(48)) | (h[single] >> U(16))]
     key.sort()
@@ -82,31 +85,46 @@ def fingerprints(data: np.ndarray, off: np.ndarray, pw: Powers) -> Pair:
     return out, some
 
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of one key apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprint_table(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, f0..f3) of each row with a key and more than white space."""
+    """(doc_id, text_key, f0..f3) of each row with a key and more than white space; the key keeps its type."""
+    src = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
+    out = T.StructType([*src.schema.fields[:2], *[T.StructField(f, T.LongType()) for f in FP]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 fp, some = fingerprints(data, off, pw)
-                cols = [part.column(0), *[pa.array(np.ascontiguousarray(fp[:, w]).view(np.int64)) for w in range(4)]]
-                yield pa.record_batch(cols, ["doc_id", *FP]).filter(pa.array(some))
+                cols = [*part.columns[:2], *[pa.array(np.ascontiguousarray(fp[:, w]).view(np.int64)) for w in range(4)]]
+                yield pa.record_batch(cols, out.names).filter(pa.array(some))
 
-    src = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{f} bigint" for f in FP))
+    return src.mapInArrow(run, out)
 
 
-def sampled_keys(fp: np.ndarray, tables: int, seed: int) -> np.ndarray:
-    """(tables, n): 64 bits drawn without repeats from each fingerprint, another draw for each table; the first drawn is the highest."""
+def draws(tables: int, seed: int) -> list[np.ndarray]:
+    """The bits in the order in which each table draws them."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((tables, len(fp)), U)
-    for t in range(tables):
-        for i, bit in enumerate(rng.permutation(BITS)[:64]):
-            out[t] |= ((fp[:, bit >> 6] >> U(bit & 63)) & U(1)) << U(63 - i)
+    return [rng.permutation(BITS) for _ in range(tables)]
+
+
+def picked(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Those bits of each fingerprint as one number, the first the highest."""
+    out = np.zeros(len(fp), U)
+    for i, bit in enumerate(bits):
+        out |= ((fp[:, bit >> 6] >> U(bit & 63)) & U(1)) << U(len(bits) - 1 - i)
     return out
 
 
+def sampled_keys(fp: np.ndarray, tables: int, seed: int) -> np.ndarray:
+    """(tables, n): 64 bits drawn without repeats from each fingerprint, another draw for each table; the first drawn is the highest."""
+    return np.array([picked(fp, d[:64]) for d in draws(tables, seed)], U).reshape(tables, len(fp))
+
+
 def bucket_pairs(table: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int, cap: int, distance: int) -> Pair:
     """Places (i, j) of fingerprints that share a bucket and differ in at most `distance` bits.
 
@@ -265,65 +283,129 @@ def tied(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([names[low[other]], names[other]], axis=1)
 
 
+def buckets(fp: np.ndarray, tables: int, bits: int, distance: int, seed: int, large: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bucket, places, level): the bucket of each fingerprint in each table; one of large[level] gives way to those of further tables.
+
+    A further table draws SPLIT bits of those that the tables above it have left, and there are as many as find DEEPER of a bucket's pairs.
+    """
+    stack = [(d, 0, bits, np.full(len(fp), U(t * 0x9E3779B97F4A7C15 & (2**64 - 1))), np.arange(len(fp))) for t, d in enumerate(draws(tables, seed))]
+    while stack:
+        order, level, n, above, rows = stack.pop()
+        name = mix(above + picked(fp[rows], order[:n]) + U(1))
+        big = np.isin(name, large[level]) if level < len(large) else np.zeros(len(name), bool)
+        yield name[~big], rows[~big], level
+        if big.any():
+            left = order[n:]
+            for t in range(tables_for(SPLIT, distance, DEEPER, len(left))):
+                again = np.random.default_rng([seed, level, t, *order[:4].tolist()]).permutation(left)
+                stack.append((again, level + 1, SPLIT, mix(name[big] ^ U(t + 1)), rows[big]))
+
+
+def _fps(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).view(U) for i in range(4)], axis=1)
+
+
 def near_pairs(fps: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES, cap: int = BUCKET_CAP, seed: int = 7) -> DataFrame:
     """Pairs (a, b) of ids, a < b, that tie together all distinct fingerprints (id, f0..f3) at most `distance` bits apart that share a bucket of some table.
 
-    Buckets are of as many sampled bits as leave the tables' recall at MEET, whatever the count of all fingerprints; those over the cap are
-    gone through again, by tables of further bits, in the task that has them.
+    Buckets are of as many sampled bits as leave the tables' recall at MEET, whatever the count of all fingerprints. Those of more than HOLD
+    are counted first and split by further tables before the shuffle, up to DEPTH times; those over the cap are gone through again, by
+    tables of further bits, in the task that has them.
     """
-    bits = first_bits(fps.count(), tables, distance)
+    n = fps.count()
+    bits = first_bits(n, tables, distance)
+    session = fps.sparkSession
+    fps = fps.select("id", *FP)
+    large: list[np.ndarray] = []
+    while n > HOLD and len(large) < DEPTH:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, sizes = np.zeros(0, U), np.zeros(0, np.int64)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 65536):
+                    part = batch.slice(a, 65536)
+                    new = [name for name, _, level in buckets(_fps(part), tables, bits, distance, seed, large) if level == len(large)]
+                    names, at = np.unique(np.concatenate([names, *new]), return_inverse=True)
+                    sizes = np.bincount(at, np.r_[sizes, np.ones(len(at) - len(sizes))], len(names)).astype(np.int64)
+            yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(sizes)], ["bucket", "n"])
+
+        over = fps.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > HOLD)
+        found = np.array([r[0] for r in over.select("bucket").collect()], np.int64).view(U)
+        if not len(found):
+            break
+        large = [*large, found]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                fp = np.stack([part.column(i + 1).to_numpy(zero_copy_only=False).view(U) for i in range(4)], axis=1)
-                keys = sampled_keys(fp, tables, seed)
-                for t in range(tables):
-                    bucket = mix((keys[t] >> U(64 - bits)) * U(4 * tables + 1) + U(t)).view(np.int64)
-                    yield pa.record_batch([pa.array(bucket), pa.array(np.full(len(fp), t, np.int16)), pa.array(keys[t].view(np.int64)), *part.columns], ["bucket", "t", "k", "id", *FP])
+                for name, rows, _ in buckets(_fps(part), tables, bits, distance, seed, large):
+                    if len(rows):
+                        cols = part.columns if len(rows) == part.num_rows else part.take(pa.array(rows)).columns
+                        yield pa.record_batch([pa.array(name.view(np.int64)), *cols], ["bucket", "id", *FP])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         col = lambda i: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held])
-        ids = col(3)
-        i, j = bucket_ties(col(1), col(2).view(U), np.stack([col(4 + w).view(U) for w in range(4)], axis=1), bits, cap, distance, seed)
+        ids, bucket, fp = col(1), col(0).view(U), np.stack([col(2 + w).view(U) for w in range(4)], axis=1)
+        held.clear()
+        i, j = bucket_ties(np.zeros(len(ids), np.int8), bucket, fp, 64, cap, distance, seed)
         pairs = tied(ids, i, j)
         for a in range(0, len(pairs), 1 << 16):
             yield pa.record_batch([pa.array(pairs[a : a + (1 << 16), 0]), pa.array(pairs[a : a + (1 << 16), 1])], ["a", "b"])
 
     words = ", ".join(f"{f} bigint" for f in FP)
-    rows = fps.select("id", *FP).mapInArrow(spread, f"bucket bigint, t smallint, k bigint, id bigint, {words}")
-    return rows.repartition("bucket").mapInArrow(compare, "a bigint, b bigint").filter("a < b").distinct()
+    rows = fps.mapInArrow(spread, f"bucket bigint, id bigint, {words}")
+    parts = math.ceil(n * tables / HOLD)
+    wide = rows.repartition(parts, "bucket") if parts > int(session.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("bucket")
+    return wide.mapInArrow(compare, "a bigint, b bigint").filter("a < b").distinct()
 
 
-OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("group_id", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType())])
+def _grouped(docs: DataFrame, distance: int, tables: int, cap: int, seed: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of near_copies, and (doc_id, text_key) of what stands in more than one row."""
+    fps = written(fingerprint_table(docs, text=text, key=key).groupBy("doc_id", "text_key", *FP).agg(F.count("*").alias("rows")), "fingerprints")
+    repeated = written(fps.filter("rows > 1").select("doc_id", "text_key"), "repeated-rows")
+    reps = written(fps.select(*FP).distinct().withColumn("id", F.monotonically_increasing_id()), "representatives")
+    groups = components(near_pairs(reps, distance=distance, tables=tables, cap=cap, seed=seed), "a", "b")
+    named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*FP, F.coalesce("component", "id").alias("group"))
+    members = fps.join(named, FP).select("group", "doc_id", "text_key")
+    sizes = members.groupBy("group").agg(F.count("*").alias("group_size"), F.min(F.struct("doc_id", "text_key")).alias("least")).filter("group_size > 1")
+    kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    out = written(members.join(sizes, "group").select("doc_id", "text_key", F.col("least.doc_id").alias("group_id"), "group_size", kept.alias("kept")), "near-copies")
+    drop(fps, reps, groups)
+    return out, repeated
 
 
 def near_copies(docs: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES, cap: int = BUCKET_CAP, seed: int = 7, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, group_id, group_size, kept) of each document that has a near copy; one of each group, the least doc_id, is kept.
 
-    Groups are the connected components of pairs of fingerprints at most `distance` bits apart. Equal fingerprints always meet; others
-    meet by bit sampling, whose recall is under test. A document without a near copy, without text (null, empty, white space) or with a
-    null key is in no row. Repeated rows are one document; a key with several texts has each of them looked at. Other columns play no part.
+    Groups are the connected components of pairs of fingerprints at most `distance` bits apart, and group_id is their least doc_id. Equal
+    fingerprints always meet; others meet by bit sampling, whose recall is under test. A document without a near copy, without text (null,
+    empty, white space) or with a null key is in no row. The key may be of any type that can be ordered. Repeated rows are one document; a
+    key with several texts has each of them looked at, with a row each, and of equal doc_ids that whose text hashes lowest is kept. Other
+    columns play no part.
     """
-    fps = written(fingerprint_table(docs, text=text, key=key).distinct(), "fingerprints")
-    same = fps.groupBy(*FP).agg(F.min("doc_id").alias("id"))
-    reps = written(same, "representatives")
-    groups = components(near_pairs(reps, distance=distance, tables=tables, cap=cap, seed=seed), "a", "b")
-    named = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(*FP, F.coalesce("component", "id").alias("group_id"))
-    members = fps.join(named, FP).select("doc_id", "group_id").distinct()
-    sizes = members.groupBy("group_id").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("least")).filter("group_size > 1")
-    out = written(members.join(sizes, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("least")).alias("kept")), "near-copies")
-    drop(fps, reps, groups)
-    return out
+    out, repeated = _grouped(docs, distance, tables, cap, seed, text, key)
+    drop(repeated)
+    return out.drop("text_key")
+
 
+def drop_copies(docs: DataFrame, *, distance: int = DISTANCE, tables: int = TABLES, cap: int = BUCKET_CAP, seed: int = 7, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` but for near copies of a kept document, with all their columns.
 
-def drop_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` but for near copies of a kept document, with all their columns; of rows that repeat a key, one stays. Rows with a null key stay."""
-    gone = near_copies(docs, text=text, key=key, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    keyed = docs.filter(F.col(key).isNotNull())
-    left = keyed.join(gone, keyed[key] == gone["_gone"], "left_anti").dropDuplicates([key])
-    return left.unionByName(docs.filter(F.col(key).isNull()))
+    It is decided by key and text: a text that is nobody's copy stays, whatever else its key has. Of rows that repeat both, one stays, that
+    whose other columns hash lowest. Rows with a null key, and those without text, stay as they are.
+    """
+    found, repeated = _grouped(docs, distance, tables, cap, seed, text, key)
+    gone = found.filter(~F.col("kept")).select("doc_id", "text_key")
+    here = lambda df, of: (df[f"`{key}`"] == of["doc_id"]) & (text_key(df[f"`{text}`"]) == of["text_key"])
+    left = docs.join(gone, here(docs, gone), "left_anti")
+    if repeated.isEmpty():
+        return left
+    spot = next(f"_n{i}" for i in range(len(docs.columns) + 1) if f"_n{i}" not in docs.columns)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy(F.col(f"`{key}`"), text_key(F.col(f"`{text}`"))).orderBy(F.xxhash64(*plain))
+    more = left.join(repeated, here(left, repeated), "left_semi").withColumn(spot, F.row_number().over(order)).filter(F.col(spot) == 1).drop(spot)
+    return left.join(repeated, here(left, repeated), "left_anti").union(more)

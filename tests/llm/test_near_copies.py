@@ -124,3 +124,37 @@ def test_first_bits_leave_recall_at_any_count():
     for n in (0, 1000, 240_000, 14_000_000, 10**10):
         bits = N.first_bits(n, N.TABLES, N.DISTANCE)
         assert 1 - (1 - N.AGAIN * N.agree(bits, N.DISTANCE)) ** N.TABLES >= 0.9
+
+
+def test_a_text_that_is_nobodys_copy_stays(spark):
+    data = [(3, "x y z w v"), (4, "x y z w v"), (4, "an entirely different document about ships"), (4, "an entirely different document about ships"), (5, None), (5, None)]
+    left = sorted(map(str, N.drop_copies(rows(spark, data)).collect()))
+    assert left == sorted(map(str, rows(spark, [data[0], data[2], data[4], data[5]]).collect()))
+
+
+def test_keys_of_other_types_and_scripts_without_spaces(spark):
+    rng = np.random.default_rng(6)
+    signs = [chr(0x4E00 + int(i)) for i in rng.integers(0, 2000, 320)]
+    other = [chr(0x4E00 + int(i)) for i in rng.integers(0, 2000, 320)]
+    data = [("p-2", "".join(signs)), ("p-1", "".join(signs[:-1]) + "\u4e01"), ("uuid-a", "".join(other)), ("q", "one two\u3000three four"), ("r", "one\u00a0two three four"), ("blank", "\u3000")]
+    got = N.near_copies(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.group_id, r.kept) for r in got} == {("p-1", "p-1", True), ("p-2", "p-1", False), ("q", "q", True), ("r", "q", False)}
+
+
+def test_buckets_too_large_for_a_task_are_split_before_the_shuffle(spark, monkeypatch):
+    n, pairs = 1500, 400
+    fp = planted(np.random.default_rng(8), n, pairs, N.DISTANCE).view(np.int64)
+    monkeypatch.setattr(N, "HOLD", 100)
+    monkeypatch.setattr(N, "BUCKET_MEAN", n)  # few bits, so that all first buckets are too large
+    fps = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fp)], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = {(r.a, r.b) for r in N.near_pairs(fps, tables=8).collect()}
+    assert sum((i, n - 1 - i) in got for i in range(pairs)) >= 0.9 * pairs
+    sizes = {}
+    large = []
+    for _ in range(2):
+        sizes = {}
+        for name, _, level in N.buckets(fp.view(U), 8, 6, N.DISTANCE, 7, large):
+            for b in name.tolist():
+                sizes[b] = sizes.get(b, 0) + 1
+        large.append(np.array([b for b, k in sizes.items() if k > 20], U))
+    assert len(large[0]) and max(sizes.values()) <= 20
