@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,48 +137,53 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> Model:
     return m
 
 
+def lowest(labelled: DataFrame, sample: int) -> DataFrame:
+    """The `sample` least different h of each lang of (lang, h). Each task sends on no more than that of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang, h = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = lang.indices.to_numpy()
+            for i, name in enumerate(lang.dictionary.to_pylist()):
+                held[name] = np.unique(np.r_[held.get(name, np.zeros(0, np.int64)), h[code == i]])[:sample]
+        for name, h in held.items():
+            yield pa.record_batch([pa.array([name] * len(h), pa.string()), pa.array(h)], ["lang", "h"])
+
+    few = labelled.select("lang", "h").mapInArrow(run, "lang string, h bigint").distinct()
+    return few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= sample).drop("n")
+
+
 def fit(docs: DataFrame, *, sample: int = 400, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Trains on at most `sample` labelled rows of each language, those whose keys hash lowest.
+    """Trains on at most `sample` labelled rows of each language, those whose key and text hash lowest; rows that repeat both are one.
 
-    Rows with a null text or language are no examples. Featurized in the executors; the driver gets one profile a row.
+    Rows with a null text or language, or without a letter or sign, are no examples; those with a null key are. Featurized in the executors;
+    the driver gets one sparse profile a row, so what it holds is bounded by `sample` and the number of languages.
     """
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang).alias("lang")).count().collect()}
-    if not counts:
-        return Model()
-    space = 1 << 30
-    hashed = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(space))
-    limit = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(space, int(space * min(1.0, 1.3 * sample / n) + 1)))])
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), hashed.alias("h")).filter(F.col("h") < F.element_at(limit, F.col("lang")))
+    body = F.col(text).cast("string")
+    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(body)) > 0))
+    labelled = labelled.select(body.alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), body, F.lit(8)).alias("h"))
+    chosen = docs.sparkSession.createDataFrame(lowest(labelled, sample).collect(), "lang string, h bigint")  # of bounded length
+    rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in chunks(batch, "text"):
                 x, _ = profiles(data, off)
-                yield pa.record_batch([part.column(1), part.column(2), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "h", "x"])
-
-    per: dict[str, list] = {}
-    for r in rows.mapInArrow(run, "lang string, h bigint, x binary").collect():  # half-precision numbers, two buckets' worth of bytes a row
-        per.setdefault(r.lang, []).append((r.h, bytes(r.x)))
-    chosen = {k: sorted(v)[:sample] for k, v in sorted(per.items())}
-    del per
-    langs = [k for k, v in chosen.items() for _ in v]
-    x = np.empty((len(langs), 2 * BUCKETS), np.float32)
-    for i, (_, row) in enumerate(v for k in chosen for v in chosen[k]):
-        x[i] = np.frombuffer(row, np.float16)
-    del chosen
-    return fit_arrays(x, langs)
-
-
-OUT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("family", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("margin", T.DoubleType()),
-        T.StructField("accepted", T.BooleanType()),
-    ]
-)
+                at = [np.flatnonzero(r) for r in x]
+                packed = [pa.array([f(r, i) for r, i in zip(x, at)], pa.binary()) for f in (lambda r, i: i.astype(np.uint16).tobytes(), lambda r, i: r[i].tobytes())]
+                yield pa.record_batch([part.column(1), part.column(2), *packed], ["lang", "h", "at", "x"])
+
+    got = sorted(rows.mapInArrow(run, "lang string, h bigint, at binary, x binary").collect(), key=lambda r: (r.lang, r.h))
+    x = np.zeros((len(got), 2 * BUCKETS), np.float32)
+    for i, r in enumerate(got):
+        x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.x, np.float32)
+    langs = [r.lang for r in got]
+    del got
+    return fit_arrays(x, langs) if langs else Model()
+
+
+OUT = [T.StructField("family", T.StringType()), T.StructField("language", T.StringType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
 
 
 def predictor(model: Model, least: float):
@@ -243,7 +248,8 @@ def identify(docs: DataFrame, model: Model | None = None, *, least: float = 0.0,
 
     `margin` is the least by which the chosen family and language won (1 where nothing competes). A text is rejected if it has no letter
     (null, empty or all digits and signs: family and language are null), if its margin is below `least`, or if there was no labelled row to
-    learn from. Repeated rows get a row each, a null key stays null, and other columns play no part. Texts count whole.
+    learn from. Repeated rows get a row each, a null key stays null, the key keeps its type, and other columns play no part. Texts count whole. A language that FAMILIES doesn't name is a
+    family of its own, so labels want cleaning first where they are many: machines between families grow with their pairs.
     """
     model = fit(docs, sample=sample, text=text, lang=lang, key=key) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -255,7 +261,8 @@ def identify(docs: DataFrame, model: Model | None = None, *, least: float = 0.0,
                 family, language, margin, ok = predict(data, off)
                 yield pa.record_batch([part.column(0), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(margin), pa.array(ok.astype(bool))], ["doc_id", "family", "language", "margin", "accepted"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, OUT)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *OUT]))
 
 
 def keep_accepted(docs: DataFrame, model: Model | None = None, *, least: float = 0.0, sample: int = 400, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:

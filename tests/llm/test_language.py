@@ -48,3 +48,64 @@ def test_edges(spark):
     assert not any(r.accepted for r in L.identify(df.select("doc_id", "text").selectExpr("*", "cast(null as string) lang")).collect())
     one = L.identify(df.filter("lang = 'de'")).collect()
     assert all(r.language == "de" for r in one)
+
+
+def decide(model, x):
+    """Family, language and margin by the definition: every machine votes, ties go by the sum of margins."""
+
+    def contest(names, machines):
+        if len(names) == 1:
+            return names[0], np.inf
+        value = {(m.yes, m.no): float(x @ m.weights) + m.bias for m in machines}
+        votes = {n: sum((v > 0) if n == a else (v <= 0) for (a, b), v in value.items() if n in (a, b)) for n in names}
+        total = {n: sum(v if n == a else -v for (a, b), v in value.items() if n in (a, b)) for n in names}
+        best = max(names, key=lambda n: (votes[n], total[n]))
+        return best, min(v if best == a else -v for (a, b), v in value.items() if best in (a, b))
+
+    family, low = contest(sorted(model.families), model.between)
+    lang, low2 = contest(model.families[family], model.within[family])
+    margin = min(low, low2)
+    return family, lang, margin if np.isfinite(margin) else 1.0
+
+
+def test_decisions_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs, sample=60)
+    assert set(model.families) == {"germanic", "romance"} and len(model.between) == 1
+    got = {r.doc_id: r for r in L.identify(docs, model, least=0.05).collect()}
+    for d, t in [(r.doc_id, r.text) for r in docs.collect()]:
+        x, letters = L.profiles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        if not letters[0]:
+            assert got[d].language is None and not got[d].accepted
+            continue
+        family, lang, margin = decide(model, x[0].astype(float))
+        assert np.isclose(got[d].margin, margin, atol=1e-4), d
+        if margin > 1e-4:
+            assert (got[d].family, got[d].language) == (family, lang)
+        if abs(margin - 0.05) > 1e-4:
+            assert got[d].accepted == (margin >= 0.05)
+
+
+def test_machines_reach_the_least_loss():
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(size=(80, 30))).astype(np.float32) / 30
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=80) / 30 > x[:, 1], 1, -1).astype(np.float32)
+    w, b = L.train_svm(x, y, rounds=2000)
+    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
+    z = np.c_[x * scale, np.ones(80)].astype(float)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    loss = lambda v: 0.5 * v @ v + 50.0 * (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    plain = np.zeros(31)
+    for _ in range(40000):
+        plain -= 2e-4 * (plain - 100.0 * z.T @ (weight * y * np.maximum(0, 1 - y * (z @ plain))))
+    assert loss(np.r_[w / scale, b]) <= 1.01 * loss(plain)
+
+
+def test_rows_that_repeat_or_have_no_key_are_learnt_from(spark):
+    en, de = "the cat and the dog were there with the others", "der hund und die katze waren auch noch da"
+    d = [(None, f"{en} {i}", "en") for i in range(700)] + [("k", de, "de")] * 700 + [(f"d{i}", f"{de} {i}", "de") for i in range(5)]
+    df = spark.createDataFrame(d, "doc_id string, text string, lang string")
+    low = L.lowest(df.selectExpr("lang", "xxhash64(doc_id, text, 8) h"), 50).groupBy("lang").count().collect()
+    assert {(r.lang, r["count"]) for r in low} == {("en", 50), ("de", 6)}
+    got = L.identify(df, sample=50).collect()
+    assert all(r.language == ("en" if r.doc_id is None else "de") for r in got)
