@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = " \t\n\r\f\x0b"
-#: Most sources whose rates are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+from ._vec import SCRIPT_CLASS, SPACE_CLASS
+
+#: A token: a sign of a script without spaces, or a maximal run of what is neither that nor white space.
+TOKEN = rf"[{SCRIPT_CLASS}]|[^ \t\n\r\f\x0b{SPACE_CLASS}{SCRIPT_CLASS}]+"
+#: Most sources whose rates are broadcast; more are joined by shuffle, with each source in SALTS partitions.
+BROADCAST_SOURCES, SALTS = 100_000, 16
+#: Copies of a row that one task makes; more are spread over tasks.
+SPREAD = 1000
 
 
 def tokens(text: Column) -> Column:
-    """Maximal runs of other than ASCII white space."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{BLANK}]+")))
+    """How many tokens a text has; none of a null."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
 
 
 def coin(key: Column, seed: int) -> Column:
@@ -32,20 +38,37 @@ def rates(docs: DataFrame, weights: dict[str, float], *, other: float, epochs: f
     return per.crossJoin(total).select("_source", F.when((F.col("n") > 0) & (F.col("weight") > 0), share).otherwise(0.0).alias("_rate"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], *, other: float = 1.0, epochs: float = 1.0, seed: int = 1, text: str = "text", source: str = "source", key: str = "doc_id", copy: str = "copy") -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: dict[str, float], *, other: float = 1.0, epochs: float = 1.0, most: float = math.inf, seed: int = 1, text: str = "text", source: str = "source", key: str = "doc_id", copy: str = "copy"
+) -> DataFrame:
     """Each row floor(rate) times, and once more with a chance of the fraction, with a column `copy` that counts from 1.
 
-    A source's rate makes its expected tokens its weight's share of `epochs` times all tokens; sources that `weights` doesn't name weigh
-    `other`. The coin is a hash of the key and the seed, so repeated rows fare alike, as do rows with a null key. Rows with a null source
-    are a source of their own; rows without a token (null or empty texts) count 0 tokens and go at their source's rate. A weight of 0 leaves
-    a source out. An input column named like `copy` is replaced.
+    A source's rate makes its expected tokens its weight's share of `epochs` times all tokens, but is `most` at most (no bound unless
+    given); sources that `weights` doesn't name weigh `other`. The coin is a hash of the key and the seed, so repeated rows fare alike, as
+    do rows with a null key. Rows with a null source are a source of their own; rows without a token (null or empty texts) count 0 tokens
+    and go at their source's rate. A weight of 0 leaves a source out. An input column named like `copy` is replaced. A source that is tiny
+    for its weight repeats as often as that asks, if millions of times; the copies of such a row are made in many tasks.
     """
-    table = rates(docs, weights, other=other, epochs=epochs, text=text, source=source)
+    table = rates(docs, weights, other=other, epochs=epochs, text=text, source=source).withColumn("_rate", F.least("_rate", F.lit(float(most))))
     few = table.limit(BROADCAST_SOURCES + 1).collect()
+    out = docs.drop(copy)
+    on = F.lit(True)
     if len(few) <= BROADCAST_SOURCES:
+        top = max([r["_rate"] for r in few], default=0.0)
         table = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], table.schema))
-    out = docs.drop(copy)
+    else:
+        top = table.agg(F.max("_rate")).first()[0]
+        table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = F.pmod(F.xxhash64(out[f"`{key}`"]), F.lit(SALTS)) == table["_salt"]
     rate = table["_rate"]
-    n = (F.floor(rate) + (coin(out[key], seed) < rate - F.floor(rate)).cast("int")).cast("int")
-    joined = out.join(table, out[source].eqNullSafe(table["_source"])).filter(n > 0)
-    return joined.select(*[out[f"`{c}`"] for c in out.columns], F.explode(F.sequence(F.lit(1), n)).alias(copy))
+    n = F.floor(rate) + (coin(out[f"`{key}`"], seed) < rate - F.floor(rate)).cast("bigint")
+    joined = out.join(table, out[f"`{source}`"].eqNullSafe(table["_source"]) & on)
+    columns = [out[f"`{c}`"] for c in out.columns]
+    one = joined.filter((n > 0) & (n <= SPREAD)).select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias(copy))
+    if top <= SPREAD - 1:
+        return one
+    spot = next(f"_n{i}" for i in range(len(docs.columns) + 1) if f"_n{i}" not in docs.columns)
+    first = F.explode(F.sequence(F.lit(1).cast("bigint"), n, F.lit(SPREAD).cast("bigint")))
+    blocks = joined.filter(n > SPREAD).select(*columns, n.alias(spot), first.alias(copy)).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.least(F.col(f"`{copy}`") + (SPREAD - 1), F.col(f"`{spot}`"))
+    return one.union(blocks.select(*[F.col(f"`{c}`") for c in out.columns], F.explode(F.sequence(F.col(f"`{copy}`"), last)).alias(copy)))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .contamination import LEAST, UNITS, WINDOW
 
-_BLANK = r"E' \t\n\r\f\x0b'"
-_TOKENS = rf"CASE WHEN trim(coalesce(text, ''), {_BLANK}) = '' THEN 0 ELSE len(string_split_regex(trim(text, {_BLANK}), '[ \t\n\r\f\x0b]+')) END"
+#: Signs of scripts that are written without spaces, and spaces beyond ASCII; both are spelled out anew here.
+_SIGN = r"\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}"
+_SPACE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOKENS = rf"len(regexp_extract_all(coalesce(text, ''), '[{_SIGN}]|[^ \t\n\r\f\x0b{_SPACE}{_SIGN}]+'))"
 
 SQL_op1_mixing = f"""
 WITH per AS (
@@ -16,11 +18,11 @@ WITH per AS (
 ), rates AS (
   SELECT source, CASE WHEN n > 0 THEN 1.0::DOUBLE * (SELECT sum(n) FROM weighed)::DOUBLE * w / (SELECT sum(w) FROM weighed) / n ELSE 0 END AS rate FROM weighed
 ), counted AS (
-  SELECT d.*, CAST(floor(rate) AS INTEGER) + CASE WHEN CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE
+  SELECT d.*, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE
          < rate - floor(rate) THEN 1 ELSE 0 END AS k
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(1, k)) AS INTEGER) AS copy FROM counted WHERE k > 0
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(1, k)) AS BIGINT) AS copy FROM counted WHERE k > 0
 """
 
 _SIGNS = "[!-/:-@\\[-`{-~]"

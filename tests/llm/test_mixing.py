@@ -44,3 +44,24 @@ def test_edges(spark):
     assert n[1, None] > 10000 and (3, "z") not in n
     assert M.mixed(df.limit(0), {}).count() == 0
     assert M.mixed(df.filter("source = 'z'"), {}).count() == 0
+
+
+def test_tiny_source_repeats_in_many_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * 50, "big") for i in range(400)] + [("tiny", "one", "small")], "doc_id string, text string, source string")
+    plan = M.mixed(df, {})
+    n = plan.groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in n}["small"] in (10000, 10001)
+    copies = plan.filter("source = 'small'").select("copy").toPandas()["copy"]
+    assert sorted(copies) == list(range(1, len(copies) + 1)) and dict(plan.dtypes)["copy"] == "bigint"
+    assert M.mixed(df, {}, most=2.0).filter("source = 'small'").count() == 2
+    huge = M.rates(df, {"small": 1e12}, other=1.0, epochs=1e12, text="text", source="source")
+    assert huge.filter("_source = 'small'").first()["_rate"] > 1e15
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, M.mixed(df, {}).collect())) == sorted(map(tuple, plan.collect()))
+
+
+def test_tokens_of_scripts_without_spaces(spark):
+    df = spark.createDataFrame([("中文 abc，x", 3), ("one\u00a0two\u3000three", 3), (None, 0), (" \u2028", 0)], "t string, n int")
+    from pyspark.sql import functions as F
+
+    assert all(r[0] == r[1] for r in df.select(M.tokens(F.col("t")), "n").collect())
