@@ -37,34 +37,37 @@ def _words(table: str, key: str) -> str:
       SELECT id, i, w, regexp_full_match(w, '[0-9.,:/-]*[0-9][0-9.,:/-]*') AS number,
              regexp_full_match(w, '[0-9]([0-9.,:/A-Za-z-]|[^\\x00-\\x7f])*([A-Za-z]|[^\\x00-\\x7f])') AS quantity FROM (
         SELECT id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (
-          SELECT DISTINCT {key} AS id, list_filter(list_transform(string_split_regex(text, '[\\x00-\\x20]+'), lambda x: regexp_replace(x, '^{_SIGNS}+|{_SIGNS}+$', '', 'g')), lambda x: x <> '') AS ws
+          SELECT DISTINCT {key} AS id, list_filter(list_transform(regexp_extract_all(text, '[{_SIGN}]|[^\\x00-\\x20{_SPACE}{_SIGN}]+'), lambda x: regexp_replace(x, '^{_SIGNS}+|{_SIGNS}+$', '', 'g')), lambda x: x <> '') AS ws
           FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)))) GROUP BY id"""
 
 
-_WINDOW = "CASE WHEN len(list_filter(k[i:i + n - 1], lambda x: x = 0)) >= 0.6 * n THEN 'T ' || array_to_string(t[i:i + n - 1], ' ') ELSE 'L ' || array_to_string(l[i:i + n - 1], ' ') END"
+_FORMS = """array_to_string(l[i:i + n - 1], ' ') AS lh, array_to_string(t[i:i + n - 1], ' ') AS th, len(list_filter(k[i:i + n - 1], lambda x: x = 0)) AS plain"""
 
 SQL_op10_contamination = f"""
 WITH d AS MATERIALIZED ({_words("documents", "doc_id")}), b AS MATERIALIZED ({_words("benchmark", "item_id")}),
 bw AS MATERIALIZED (
-  SELECT id AS item_id, i AS q, n, {_WINDOW} AS h, l[i:i + n - 1] AS bl FROM (
-    SELECT *, unnest(generate_series(1, len(l) - n + 1)) AS i FROM (SELECT *, least(len(l), {WINDOW}) AS n FROM b WHERE len(l) >= {LEAST}))
-), dw AS (
-  SELECT id AS doc_id, i AS p, n, {_WINDOW} AS h, l[i:i + n - 1] AS dl, k[i:i + n - 1] AS dk FROM (
-    SELECT *, unnest(generate_series(1, len(l) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(l) >= n)
+  SELECT id AS item_id, i AS q, n, {_FORMS}, l[i:i + n - 1] AS bl, len(l) - n + 1 AS windows FROM (
+    SELECT *, unnest(generate_series(1, len(l) - n + 1)) AS i FROM (SELECT *, least(len(l), {WINDOW}) AS n FROM b WHERE len(l) > 0))
+), dw AS MATERIALIZED (
+  SELECT id AS doc_id, i AS p, n, {_FORMS}, l[i:i + n - 1] AS dl, k[i:i + n - 1] AS dk FROM (
+    SELECT *, unnest(generate_series(1, len(l) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(l) >= n AND (n >= {LEAST} OR len(l) = n))
 ), hit AS MATERIALIZED (
-  SELECT doc_id, item_id, p, p - q AS line, dl, dk, bl, n FROM dw JOIN bw USING (h, n)
+  SELECT doc_id, item_id, p, p - q AS line, dl, dk, bl, n, windows, true AS literal, false AS weak FROM dw JOIN bw USING (lh, n)
+  UNION ALL
+  SELECT doc_id, item_id, p, p - q AS line, dl, dk, bl, n, windows, false AS literal, dw.plain < 0.6 * n AS weak FROM dw JOIN bw USING (th, n)
+  WHERE dw.plain < n AND dw.plain >= 0.3 * n AND n >= {LEAST}
 ), pairs AS (
-  SELECT DISTINCT doc_id, item_id, line, bl[j] AS bv, dl[j] AS dv FROM (SELECT *, unnest(generate_series(1, n)) AS j FROM hit) WHERE dk[j] > 0
+  SELECT DISTINCT doc_id, item_id, line, bl[j] AS bv, dl[j] AS dv FROM (SELECT *, unnest(generate_series(1, n)) AS j FROM hit WHERE NOT literal) WHERE dk[j] > 0
 ), bad AS (
-  SELECT DISTINCT doc_id, item_id, line FROM (
-    SELECT doc_id, item_id, line FROM pairs GROUP BY ALL HAVING count(*) <> count(DISTINCT bv) OR count(*) <> count(DISTINCT dv))
-), exact AS (
-  SELECT doc_id, item_id, line, bool_and(bv = dv) AS same FROM pairs GROUP BY ALL
+  SELECT doc_id, item_id, line, count(*) <> count(DISTINCT bv) OR count(*) <> count(DISTINCT dv) AS bad, bool_and(bv = dv) AS same FROM pairs GROUP BY ALL
+), counted AS (
+  SELECT doc_id, item_id, line, count(DISTINCT p) AS every, count(DISTINCT p) FILTER (WHERE literal OR NOT weak) AS firm, count(DISTINCT p) FILTER (WHERE literal) AS literal,
+         min(least(windows, 3)) AS need FROM hit GROUP BY ALL
 ), lines AS (
-  SELECT doc_id, item_id, line, count(DISTINCT p) AS n FROM hit ANTI JOIN bad USING (doc_id, item_id, line) GROUP BY ALL
+  SELECT doc_id, item_id, CASE WHEN coalesce(bad, false) THEN literal WHEN every >= need THEN every ELSE firm END AS n, coalesce(same, true) AS same
+  FROM counted LEFT JOIN bad USING (doc_id, item_id, line)
 )
-SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS windows, bool_or(coalesce(same, true)) AS exact
-FROM lines LEFT JOIN exact USING (doc_id, item_id, line) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS windows, bool_or(same) AS exact FROM lines WHERE n > 0 GROUP BY doc_id, item_id
 """
 
 

@@ -26,7 +26,8 @@ def test_reparameterised_and_inconsistent(spark):
         (7, Q + " " + Q.replace("12", "5")),
     ]
     got = {(r.doc_id, r.item_id): r for r in C.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), bench(spark, Q)).collect()}
-    assert set(got) == {(1, 0), (2, 0), (7, 0)}
+    assert set(got) == {(1, 0), (2, 0), (5, 0), (7, 0)}
+    assert got[5, 0].exact and got[5, 0].windows == 9  # word for word, in capitals
     assert got[1, 0].exact and not got[2, 0].exact and got[7, 0].exact
     assert got[1, 0].windows == 9 and got[7, 0].windows == 18
 
@@ -75,3 +76,30 @@ def test_windows_equal_word_for_word_count_on_an_inconsistent_line(spark):
     assert got[1].windows == total - len(at(second)) and not got[1].exact
     assert got[2].windows == total - len(at(w.index("7")) | at(w.index("8"))) and not got[2].exact
     assert got[3].windows == total and got[3].exact
+
+
+def test_copies_in_other_case_and_slot_rich_items(spark):
+    items = ["What is 15 % of 80 dollars", "Alice buys 12 apples at 3 dollars each and 5 pears at 2 dollars", "Der Hund von Peter und die Katze von Maria sahen am Montag den Vogel im Garten", "yes no"]
+    docs = [
+        (1, "So: what is 20 % of 90 dollars?"),  # 'what' has no capital here: another template
+        (2, "So: What is 20 % of 90 dollars?"),
+        (3, "say Bob buys 7 apples at 4 dollars each and 6 pears at 9 dollars now"),
+        (4, "say Bob buys 7 apples at 4 dollars each and 6 pears at 4 dollars now"),  # 4 goes with 3 and with 2
+        (5, items[2].lower()),
+        (6, "Der Hund von Anna und die Katze von Jonas sahen am Freitag den Vogel im Garten"),
+        (7, "Der Tisch von Anna und die Lampe von Jonas standen am Freitag vor der Tür im Garten"),
+        (8, "YES no!"),
+        (9, "yes no maybe"),
+        (10, "SO WHAT IS 15 % OF 80 DOLLARS NOW"),
+    ]
+    got = {(r.doc_id, r.item_id): r.exact for r in C.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), bench(spark, *items)).collect()}
+    assert got == {(2, 0): False, (3, 1): False, (5, 2): True, (6, 2): False, (8, 3): True, (10, 0): True}
+
+
+def test_keys_of_other_types_and_scripts_without_spaces(spark):
+    item = "这是一个关于苹果和梨的很长的问题答案是什么"
+    docs = spark.createDataFrame([("uuid-a", "前面的话" + item + "后面"), ("b", "别的文章没有这个问题")], "doc_id string, text string")
+    got = C.matches(docs, spark.createDataFrame([("q-1", item)], "item_id string, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.exact) for r in got] == [("uuid-a", "q-1", True)]
+    left = C.drop_contaminated(docs, spark.createDataFrame([("q-1", item)], "item_id string, text string"))
+    assert [r.doc_id for r in left.collect()] == ["b"]
