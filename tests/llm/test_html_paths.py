@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -48,6 +51,7 @@ def test_driver_pages_against_brute_force(spark):
         ("<script>x < y</script>t<!-- <p>q -->u<style>p{}", [("", "t"), ("", "u")]),
         ("<title>A &amp; B</title></x></p>", [("title", "A & B")]),
         ("a <", [("", "a <")]),
+        ("<p>a < b & c</p>", [("p", "a < b & c")]),
         ("<!-- never shut <p>x", []),
         ("<p class=a", []),
         ("<table><tr><td>1<td>2<tr><td>3</table>", [("table/tr/td", "1"), ("table/tr/td", "2"), ("table/tr/td", "3")]),
@@ -57,6 +61,61 @@ def test_text_nodes(page, want):
     assert H.text_nodes(page) == want
 
 
+class Plain(HTMLParser):
+    """Places of text of a page, by another parser; of what may be left open, it knows of p and of what an outer element's end closes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out, self.held = [], [], ""
+
+    def flush(self):
+        text = " ".join(self.held.split())
+        if text and not set(self.open) & H.UNSEEN:
+            self.out.append(("/".join(self.open), text))
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if tag in ("p", "div", "ul", "article", "nav", "footer", "h1", "table") and "p" in self.open:
+            while self.open.pop() != "p":
+                pass
+        if tag not in H.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self.flush()
+        while tag in self.open and self.open.pop() != tag:
+            pass
+
+    def handle_comment(self, data):
+        self.flush()
+
+    def handle_data(self, data):
+        self.held += data
+
+
+def test_places_against_another_parser(spark):
+    seen = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        p = Plain()
+        p.feed(r.html)
+        p.close()
+        p.flush()
+        assert H.text_nodes(r.html) == p.out
+        seen += 1
+    assert seen > 100
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text. more." + "</div>" * 100_000, "<b>a," * 100_000, "<ul>" + "<b>" * 50_000 + "<li></li>" * 50_000 + "end. here.", "<p>" * 100_000 + "x.", "<" * 200_000, "<i>x</b>" * 50_000])
+def test_time_grows_with_length(page):
+    began = time.process_time()
+    content, kept, nodes, paths = H.extract_one(page)
+    assert time.process_time() - began < 2
+    assert len(content) >= 0 and all(p.count("/") < H.DEPTH for p in paths)
+    if page.startswith("<b>a,"):
+        assert kept == nodes == 100_000
+
+
 def test_edges(spark):
     deep = "<div>" * 3000 + "text. more." + "</div>" * 3000
     long = "<article>" + "<p>A sentence, and more.</p>" * 20000 + "</article><nav>" + "<a>x</a>" * 50 + "</nav>"
