@@ -18,7 +18,9 @@ def resolved(records: DataFrame, *, permitted: tuple[str, ...] = PERMITTED) -> D
     refers to the latest full response (type response, status 200) of the same canonical URL before its time; of those of one time, to that
     of the largest record_id. It is matched if the validators that both have are equal (etag, weak marks aside; else last-modified) and,
     where the revisit carries a payload digest, that too; with no validator and no digest in common it is not. `headers` are the response's
-    with the permitted ones of the revisit over them, and payload_digest is the response's; both are null unless matched. A response at the
+    with the permitted ones of the revisit over them, and payload_digest is the response's; both are null unless matched. Only a revisit of
+    status 304 or none is a not-modified reply: another one (the payload came again, and was the same) is matched by its digest alone, and
+    its own headers stand. A response at the
     very time of the revisit is not before it. A null or hostless URL, or a null time, has no earlier response. Repeated revisits get a row
     each; other columns play no part.
 
@@ -27,7 +29,7 @@ def resolved(records: DataFrame, *, permitted: tuple[str, ...] = PERMITTED) -> D
     """
     url = canonical(F.col("uri"))
     full = (F.col("type") == "response") & (F.col("status") == 200) & url.isNotNull() & F.col("ts").isNotNull()
-    rows = records.select("record_id", "type", "uri", "ts", "headers", "payload_digest", F.coalesce(full, F.lit(False)).alias("full"), F.coalesce(url, F.concat(F.lit("\x00"), F.col("record_id").cast("string"))).alias("key")).filter("full or type = 'revisit'")
+    rows = records.select("record_id", "type", "uri", "ts", "status", "headers", "payload_digest", F.coalesce(full, F.lit(False)).alias("full"), F.coalesce(url, F.concat(F.lit("\x00"), F.col("record_id").cast("string"))).alias("key")).filter("full or type = 'revisit'")
     # at one time revisits come before responses, so that no response of that time is before them
     w = Window.partitionBy("key").orderBy("ts", F.col("full").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("full"), F.struct("record_id", "headers", "payload_digest")), ignorenulls=True).over(w)
@@ -37,16 +39,18 @@ def resolved(records: DataFrame, *, permitted: tuple[str, ...] = PERMITTED) -> D
     by_etag, by_date = etag(h) == etag(g), F.element_at(h, "last-modified") == F.element_at(g, "last-modified")
     by_digest = F.col("payload_digest") == F.col("r.payload_digest")
     validators = F.coalesce(by_etag, by_date)
-    matched = F.col("r").isNotNull() & F.coalesce(validators, by_digest, F.lit(False)) & F.coalesce(by_digest, F.lit(True))
+    unmodified = F.coalesce(F.col("status") == 304, F.lit(True))
+    matched = F.col("r").isNotNull() & F.when(unmodified, F.coalesce(validators, by_digest, F.lit(False)) & F.coalesce(by_digest, F.lit(True))).otherwise(F.coalesce(by_digest, F.lit(False)))
     fresh = F.map_filter(F.coalesce(h, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*permitted) & v.isNotNull())
     kept = F.map_filter(F.coalesce(g, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    merged = F.when(unmodified, F.map_concat(kept, fresh)).otherwise(h)
     return rev.withColumn("matched", matched).select(
         "record_id",
         "uri",
         "ts",
         F.col("r.record_id").alias("refers_to"),
         "matched",
-        F.when(F.col("matched"), F.map_concat(kept, fresh)).alias("headers"),
+        F.when(F.col("matched"), merged).alias("headers"),
         F.when(F.col("matched"), F.col("r.payload_digest")).alias("payload_digest"),
     )
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._state import written
+
 #: Bits of filter a listed URL, and bits set a URL. A block has 512 bits, so that a URL touches one row of the filter.
 BITS_PER_URL = 16
 PROBES = 6
@@ -66,10 +68,10 @@ def listed_pages(pages: DataFrame, urls: DataFrame, *, url: str = "url", key: st
     """(page_id, url, canonical_url) of each row of `pages` whose canonical URL is that of a row of `urls`.
 
     The filter has as many blocks as the count of listed URLs asks for. The planner broadcasts it, or the list, only where its size on
-    finding it is below its threshold; else both joins shuffle URLs alone. Nulls, empty URLs and URLs without a host are never listed;
+    finding it is below its threshold; else both joins shuffle URLs alone, and the exact one hashes the list. The list is made canonical once. Nulls, empty URLs and URLs without a host are never listed;
     repeated rows of pages stay, those of the list count once. Other columns play no part.
     """
-    known = urls.select(canonical(F.col(listed_url)).alias("key")).filter("key is not null").distinct()
+    known = written(urls.select(canonical(F.col(listed_url)).alias("key")).filter("key is not null").distinct(), "listed-urls")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), canonical(F.col(url)).alias("key")).filter("key is not null")
     blocks = block_count(known.count())
-    return passing(rows, known, blocks).join(known, "key", "left_semi").select("page_id", "url", F.col("key").alias("canonical_url"))
+    return passing(rows, known, blocks).join(known.hint("shuffle_hash"), "key", "left_semi").select("page_id", "url", F.col("key").alias("canonical_url"))

@@ -38,3 +38,18 @@ def test_edges(spark):
     assert by["r1"].headers == {"etag": 'W/"1"', "date": "d2", "content-type": "t"} and by["r1"].payload_digest == "p1"
     assert by["r3"].headers is None and by["r5"].headers == {"etag": '"2"', "last-modified": "m"}
     assert R.resolved(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_responses_of_one_time_and_revisits_that_are_no_304(spark):
+    d = [
+        ("a", "response", "http://x.com/", 10, 200, {"etag": "1", "content-type": "t"}, "p1", 0),
+        ("b", "response", "http://x.com/", 10, 200, {"etag": "2", "content-type": "u"}, "p2", 0),
+        ("r1", "revisit", "http://x.com/", 11, 304, {"etag": "2"}, None, 0),
+        ("r2", "revisit", "http://x.com/", 12, 200, {"etag": "2", "content-type": "v"}, "p2", 0),
+        ("r3", "revisit", "http://x.com/", 13, 200, {"etag": "2"}, None, 0),
+        ("r4", "revisit", "http://x.com/", 14, None, {"etag": "2"}, None, 0),
+    ]
+    by = {r.record_id: r for r in R.resolved(spark.createDataFrame(d, DDL)).collect()}
+    assert {k: (r.refers_to, r.matched) for k, r in by.items()} == {"r1": ("b", True), "r2": ("b", True), "r3": ("b", False), "r4": ("b", True)}
+    assert by["r2"].headers == {"etag": "2", "content-type": "v"} and by["r2"].payload_digest == "p2"
+    assert by["r1"].headers == by["r4"].headers == {"etag": "2", "content-type": "u"}
