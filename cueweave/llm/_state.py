@@ -3,33 +3,55 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Shuffle files go when the job that made them is over: what `written` gives is read from its table and not made again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is made only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that spark.checkpoint.dir or setCheckpointDir names.
+
+    Where neither is set, one of this machine is made, which goes with the process; only a session that runs on this machine alone gets one.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = getattr(spark.sparkContext, "_cueweave_shared", None)
-        if where is None:
-            own = tempfile.mkdtemp(prefix="cueweave-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            where = "file://" + own
-            spark.sparkContext._cueweave_shared = where
+        known = sc._jsc.sc().getCheckpointDir()
+        where = known.get() if known.isDefined() else getattr(sc, "_cueweave_shared", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[\d*]+(,\s*\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="cueweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = sc._cueweave_shared = "file://" + own
     return where.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read again from a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._cueweave_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
@@ -41,6 +63,17 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that are written within it, to be dropped once what was made from them is written too."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow for tables with columns of any name, dots and all: `run` sees and gives batches whose columns go by place."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

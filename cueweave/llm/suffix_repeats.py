@@ -8,8 +8,7 @@ partition sorts the suffixes of the runs of its components.
 
 from __future__ import annotations
 
-import gc
-import time
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,8 @@ from ._vec import Powers, U, chunks, mix, sliding_argmin, span_hash, token_bound
 #: Least length of a repeat, and of a seed, in tokens.
 MIN_TOKENS = 50
 SEED = 16
+#: Windows that a task sorts the suffixes of, but for those of one component.
+WINDOWS = 1 << 20
 #: Rows of a batch that a function yields.
 ROWS = 1 << 16
 
@@ -69,37 +70,47 @@ def _seeds(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, doc_id bigint, place bigint")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (h, doc_id, place) whose h is in another row too; the same row twice counts once. Streams over sorted partitions."""
+def _repeated(rows: DataFrame, *, named: bool = False) -> DataFrame:
+    """Rows (h, doc_id, place) whose h is in another row too; the same row twice counts once. Streams over sorted partitions.
+
+    With `named`, rows have a second hash c besides, both have to agree, and h becomes a name that no other pair of hashes has: the number of
+    the partition and of the pair within it.
+    """
+    by = ["h", "c"] if named else ["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         last = None  # of the open group: its first row, and whether it is known to repeat
         known = False
+        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, d, p = (_np(batch.column(i)) for i in range(3))
-            go_on = last is not None and h[0] == last[0]
+            h, d, p = (_np(batch.column(batch.schema.get_field_index(c))) for c in ("h", "doc_id", "place"))
+            c = _np(batch.column(batch.schema.get_field_index("c"))) if named else np.zeros(len(h), np.int8)
+            go_on = last is not None and h[0] == last[0] and c[0] == last[3]
             if go_on:
-                h, d, p = (np.r_[np.array([x], np.int64), v] for x, v in zip(last, (h, d, p)))
-            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                h, d, p, c = (np.r_[np.array([x], v.dtype), v] for x, v in zip(last, (h, d, p, c)))
+            edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
             size = np.diff(np.r_[edge, len(h)])
             first = np.repeat(edge, size)
             many = np.logical_or.reduceat((d != d[first]) | (p != p[first]), edge)
             many[0] |= go_on and known
             keep = np.repeat(many, size)
             if not go_on:
-                pass
+                serial += 1
             elif known:
                 keep[0] = False  # given out before
-            held = not many[-1]
-            if held:
+            name = serial + np.repeat(np.arange(len(edge)), size) if named else h
+            serial += len(edge) - 1
+            if not many[-1]:
                 keep[edge[-1] :] = False
-            last, known = (h[edge[-1]], d[edge[-1]], p[edge[-1]]), bool(many[-1])
+            last, known = (h[edge[-1]], d[edge[-1]], p[edge[-1]], c[edge[-1]]), bool(many[-1])
             if keep.any():
-                yield pa.record_batch([pa.array(v[keep]) for v in (h, d, p)], ["h", "doc_id", "place"])
+                yield pa.record_batch([pa.array(v[keep]) for v in (name, d, p)], ["h", "doc_id", "place"])
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, rows.schema)
+    return rows.repartition("h").sortWithinPartitions(*by).mapInArrow(run, "h bigint, doc_id bigint, place bigint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -124,9 +135,13 @@ def unpacked(batches: Iterator[pa.RecordBatch], at: int = 2) -> Iterator[pa.Reco
             yield part.set_column(at, "text", pa.array(texts, pa.large_binary()))
 
 
-def _windows(docs: DataFrame, seeds: DataFrame, k: int, seed: int) -> DataFrame:
-    """(h, doc_id, place) of the windows of k tokens that hold a seed."""
-    listed = seeds.withColumn("sub", F.shiftright("place", 32)).groupBy("doc_id", "sub").agg(F.collect_list((F.col("place") - F.shiftleft("sub", 32)).cast("int")).alias("at"))
+def _listed(seeds: DataFrame) -> DataFrame:
+    """(doc_id, sub, at): the first tokens of each text's seeds."""
+    return seeds.withColumn("sub", F.shiftright("place", 32)).groupBy("doc_id", "sub").agg(F.collect_list((F.col("place") - F.shiftleft("sub", 32)).cast("int")).alias("at"))
+
+
+def _windows(docs: DataFrame, listed: DataFrame, k: int, seed: int) -> DataFrame:
+    """(h, c, doc_id, place) of the windows of k tokens that hold a seed; c is another hash of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -134,6 +149,7 @@ def _windows(docs: DataFrame, seeds: DataFrame, k: int, seed: int) -> DataFrame:
             for part, data, off in chunks(batch, "text"):
                 h, tok, doc = _tokens(data, off, pw)
                 hashes = window_hash(h, k, pw)
+                checks = window_hash(mix(h ^ U(0x9FB21C651E98DF25)), k, pw) >> U(32)
                 at = part.column(3)
                 owner = np.repeat(np.arange(len(at)), _np(at.value_lengths()))
                 s = _np(at.flatten()) + tok[owner]
@@ -147,9 +163,9 @@ def _windows(docs: DataFrame, seeds: DataFrame, k: int, seed: int) -> DataFrame:
                 ids = _np(part.column(0))[d]
                 for a in range(0, len(p), ROWS):
                     b = slice(a, a + ROWS)
-                    yield pa.record_batch([_long(hashes[p[b]]), pa.array(ids[b]), pa.array(place[b])], ["h", "doc_id", "place"])
+                    yield pa.record_batch([_long(hashes[p[b]]), pa.array(checks[p[b]].astype(np.uint32).view(np.int32)), pa.array(ids[b]), pa.array(place[b])], ["h", "c", "doc_id", "place"])
 
-    return _packed(docs).join(listed, ["doc_id", "sub"]).select("doc_id", "sub", "z", "at").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
+    return _packed(docs).join(listed, ["doc_id", "sub"]).select("doc_id", "sub", "z", "at").mapInArrow(run, "h bigint, c int, doc_id bigint, place bigint")
 
 
 def _runs(windows: DataFrame) -> DataFrame:
@@ -298,7 +314,7 @@ MEMBER = "repeat_id bigint, rank int, run bigint, shift int, whole int, length i
 GROUPS = pa.list_(pa.struct([("length", pa.int32()), ("last_rank", pa.int32())]))
 
 
-def _members(runs: DataFrame, k: int) -> DataFrame:
+def _members(runs: DataFrame, k: int, least: int) -> DataFrame:
     """The members of each class whose members are preceded by different items, with the intervals that begin at each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,10 +365,21 @@ def _members(runs: DataFrame, k: int) -> DataFrame:
         if at:
             yield from give()
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that stays: small partitions hold little memory
+    parts = max(least, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number that stays: small partitions hold little memory
     return runs.repartition(parts, "component").select("run", "count", "doc_id", "place", "seq").mapInArrow(run, MEMBER)
 
 
+def _by_rank(docs: DataFrame, text: str, key: str, found) -> DataFrame:
+    """What `found` gives for `docs` with its keys, of a type that is no integer, by their rank; with the keys themselves again."""
+    ranks = written(docs.select(F.col(key).alias("_key")).filter("_key is not null").distinct().sort("_key").withColumn("_rank", F.monotonically_increasing_id()), "ranks")
+    body = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
+    out = found(body.join(ranks, "_key").select(F.col("_rank").alias("doc_id"), "text"))
+    names = out.columns
+    named = written(out.join(ranks, out["doc_id"] == ranks["_rank"]).drop("doc_id").withColumnRenamed("_key", "doc_id").select(names), "repeats")
+    drop(out, ranks)
+    return named
+
+
 def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Maximal repeats of at least `min_tokens` tokens, with every place of each.
 
@@ -361,18 +388,23 @@ def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED,
     repeats are the intervals of that order: a row's `groups` has each one that begins at its rank as (length in tokens, last rank), and all
     rows of the class from the rank to the last rank are its places. `length` is the longest repeat at this place; `dup_length` is how much
     from here on has an earlier place, by (doc_id, start), and 0 for the first. `start` counts tokens (white space apart) from 0. A repeat
-    within one document counts as between two. So the rows grow with the places and not with their pairs.
+    within one document counts as between two. So the rows grow with the places and not with their pairs. Tokens are those of `_vec`, and
+    passages are held equal if two hashes of theirs, of 96 bits, are; repeat_id is a number of one call.
 
-    Rows with a null key or text take no part; repeated rows count once; texts of fewer tokens can't repeat. Other columns play no part.
+    Rows with a null key or text take no part; repeated rows count once; texts of fewer tokens can't repeat. Other columns play no part. A
+    key that is no integer goes by its rank, at the price of one more shuffle of the texts, and keeps its type.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        return _by_rank(docs, text, key, lambda some: repeats(some, min_tokens=min_tokens, seed=seed))
     docs = _keyed(docs, text, key)
-    runs = written(_runs(_repeated(_windows(docs, _repeated(_seeds(docs, min_tokens, seed)), min_tokens, seed))), "runs")
-    _release(docs)
+    listed = written(_listed(_repeated(_seeds(docs, min_tokens, seed))), "seeds")
+    runs = written(_runs(_repeated(_windows(docs, listed, min_tokens, seed), named=True)), "runs")
+    drop(listed)
     distinct = runs.groupBy("run").agg(F.count("*").cast("int").alias("count"), F.min(F.struct("doc_id", "place")).alias("first"), F.max("seq").alias("seq"))
     distinct = written(distinct.select("run", "count", "first.doc_id", "first.place", "seq"), "distinct-runs")
-    _release(docs)
     groups = components(_edges(distinct), "a", "b")
-    members = _members(distinct.join(groups.withColumnRenamed("node", "run"), "run", "left").withColumn("component", F.coalesce("component", "run")), min_tokens)
+    windows = distinct.agg(F.sum(F.length("seq"))).first()[0] or 0
+    members = _members(distinct.join(groups.withColumnRenamed("node", "run"), "run", "left").withColumn("component", F.coalesce("component", "run")), min_tokens, math.ceil(windows / 8 / WINDOWS))
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
     start = (F.col("place") - F.shiftleft(F.shiftright("place", 32), 32)).cast("int") + F.col("shift")
     out = members.join(runs.select("run", "doc_id", "place"), "run").select(
@@ -383,14 +415,6 @@ def repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED,
     return out
 
 
-def _release(df: DataFrame) -> None:
-    """Lets the driver drop the shuffle files of jobs that are over; the driver's Python lets go of their plans a moment after it is told."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.5)
-        df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = SEED, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
     """`docs` without the tokens that `repeats` finds at an earlier place, with the length column set anew where there is one.
 
@@ -401,7 +425,6 @@ def drop_repeats(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, seed: int = S
     per = found.filter("dup_length > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_sub")).agg(F.collect_set(F.struct("start", "dup_length")).alias("_spans"))
     per = written(per, "spans")
     drop(found)
-    _release(docs)
     sub = F.shiftright(F.xxhash64(docs[text].cast("string")), 32).cast("bigint")
     joined = docs.join(per, (docs[key] == per["_doc"]) & (sub == per["_sub"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], per["_spans"])
     at = docs.columns.index(text)

@@ -115,3 +115,33 @@ def test_edges(spark):
     left = {(r.doc_id, r.text if r.text is None else len(r.text.split())) for r in S.drop_repeats(df).collect()}
     assert left == {(1, 62), (3, None), (None, p and 60), (5, 0), (6, 2), (7, 1), (8, 1)}
     assert S.repeats(df.limit(0)).count() == 0 and S.drop_repeats(df.limit(0)).count() == 0
+
+
+def test_keys_of_other_types_and_scripts_without_spaces(spark):
+    rng = np.random.default_rng(9)
+    signs = "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 3000, 320))
+    data = [("b", "前" + signs + "后"), ("a", "左" + signs), ("c", signs[:100]), (None, signs)]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    got = {(r.doc_id, r.start, r.length, r.dup_length) for r in S.repeats(df).collect()}
+    assert got == {("a", 1, 320, 0), ("b", 1, 320, 320), ("c", 0, 100, 100)}
+    left = {r.doc_id: r.text for r in S.drop_repeats(df).collect()}
+    assert left == {"a": "左" + signs, "b": "前后", None: signs}
+
+
+def test_windows_of_equal_first_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(5, 1, 1, 0), (5, 1, 2, 0), (5, 2, 3, 0), (5, 2, 3, 0), (5, 3, 4, 0), (5, 3, 4, 7), (9, 0, 5, 0), (9, 0, 6, 0)], "h bigint, c int, doc_id bigint, place bigint")
+    got = S._repeated(rows, named=True).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.h, set()).add((r.doc_id, r.place))
+    assert sorted(map(sorted, by.values())) == [[(1, 0), (2, 0)], [(4, 0), (4, 7)], [(5, 0), (6, 0)]]
+
+
+def test_a_chain_of_runs_in_one_component(spark):
+    n = 4000
+    words = [f"w{i}" for i in range(n + 40)]
+    data = [(i, " ".join(words[i : i + 12])) for i in range(0, n, 5)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = S.repeats(df, min_tokens=6, seed=3).collect()
+    assert {r.length for r in got} == {7} and {r.doc_id for r in got} == {d for d, _ in data}
+    assert len(got) == 2 * (len(data) - 1)
