@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
+from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +15,25 @@ from .core import let
 #: White space as Unicode has it; Java's \\s alone is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _SENTENCE = r"[^!?.]+[!?.]?"
-_ENTITY = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that need no semicolon, the longest first.
+_BARE = "|".join(sorted((k for k in html5 if k[-1] != ";"), key=lambda k: (-len(k), k)))
+#: Numbers that stand for something else than their character.
+_ODD = {str(n): c for n in (*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | e for p in range(17) for e in (0xFFFE, 0xFFFF))) if (c := html.unescape(f"&#{n};")) != chr(n)}
+_LOWERED = {c.lower(): c.casefold() for c in map(chr, range(0x20000)) if c.casefold() != c.lower() and len(c.lower()) == 1}
+_ONE = {k: v for k, v in _LOWERED.items() if len(v) == 1}
+_MANY = {k: v for k, v in _LOWERED.items() if len(v) > 1}
+
+
+def _table(of: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(of)), "map<string,string>")
+
+
+def substituted(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """The text with `by` of each match of the pattern in its place; a text without a match costs a search."""
+    pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(pieces, found, lambda p, f: F.concat(p, F.coalesce(by(f), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(both, "")).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
@@ -22,8 +43,9 @@ def normalize(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Lower case with sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Text as it compares without regard to case."""
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    return substituted(low, f"[{''.join(_MANY)}]", lambda c: F.element_at(_table(_MANY), c))
 
 
 def sentences(text: Column) -> Column:
@@ -34,37 +56,41 @@ def sentences(text: Column) -> Column:
 def drop_repeated_sentences(text: Column) -> Column:
     """The text without sentences equal to the one before, case and end marks aside.
 
-    A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before.
+    A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before. Only
+    texts in which something stands twice between marks are taken apart, which one search finds out.
     """
-    flat = F.regexp_replace(text, f"{SPACE}+", " ")  # once for the whole text, so that sentences need none of it
-    bare = F.transform(F.regexp_extract_all(flat, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s))
+    plain = F.regexp_replace(text, f"{SPACE}+", " ")
+    twice = casefold(normalize(plain)).rlike(r"(?:^|[!?.])[!?. ]*+([^!?.]++)[!?.][!?. ]*+\1(?:[!?.]|$)")
+    # no mark after another or at the start, and a space after each: what taking apart and joining comes to
+    whole = normalize(F.regexp_replace(F.regexp_replace(plain, r"^[!?.]+|(?<=[!?.])[!?.]+", ""), r"([!?.])(?=[^ !?.])", "$1 "))
+    bare = F.transform(F.regexp_extract_all(plain, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s))
     parts = F.transform(bare, lambda s: F.struct(s.alias("s"), F.btrim(F.regexp_replace(casefold(s), r" +([,.!?;:])", "$1"), F.lit(".!?")).alias("k")))
 
     def joined(p: Column) -> Column:
         kept = F.filter(p, lambda x, i: (x["k"] == "") | (i == 0) | (x["k"] != F.get(p, i - 1)["k"]))
-        return F.when(F.size(p) > 0, F.array_join(F.transform(kept, lambda x: x["s"]), " "))
-
-    return normalize(F.coalesce(let(parts, joined), text))
-
+        return F.array_join(F.transform(kept, lambda x: x["s"]), " ")
 
-def unescape(text: Column) -> Column:
-    """Character references of HTML as characters. Texts without an ampersand don't leave the JVM."""
+    return F.when(twice, normalize(let(parts, joined))).when(text.rlike("[^!?.]"), whole).otherwise(normalize(text))
 
-    @F.pandas_udf("string")
-    def by_table(s):  # type: ignore[no-untyped-def]
-        return s.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
-    return by_table(text)
+def references(text: Column) -> Column:
+    """Character references of HTML, by name or number, as characters, as Python's html.unescape has them; all within the JVM."""
 
+    def one(t: Column) -> Column:
+        name = F.substring(t, 2, 40)
+        hexa, deci = F.regexp_extract(t, r"^&#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(t, r"^&#0*([0-9]*)", 1)
+        n = F.when(F.substring(t, 3, 1).isin("x", "X"), F.when(F.length(hexa) < 8, F.conv(F.concat(F.lit("0"), hexa), 16, 10))).otherwise(F.when(F.length(deci) < 9, F.concat(F.lit("0"), deci))).cast("bigint")
+        wrong = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, 0).otherwise(n)), 8, "0")), "UTF-32")
+        number = F.coalesce(F.element_at(_table(_ODD), n.cast("string")), F.when(wrong, "\ufffd").otherwise(sign))
+        bare = F.regexp_extract(name, f"^(?:{_BARE})", 0)
+        part = F.when(bare != "", F.concat(F.element_at(_table(html5), bare), F.substr(name, F.length(bare) + 1)))
+        return F.when(F.startswith(t, F.lit("&#")), number).otherwise(F.coalesce(F.element_at(_table(html5), name), part, t))
 
-def entities(text: Column) -> Column:
-    """The common character references (amp, lt, gt, quot, apos, #39, nbsp) as characters, amp last, within the JVM."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    return substituted(text, _REFERENCE, one)
 
 
-def clean_markup(text: Column, references=entities) -> Column:
+def clean_markup(text: Column, references: Callable[[Column], Column] = references) -> Column:
     """Tags out, speaker marks (two or more >) as a space, then character references, then white space. Escaped marks survive."""
     bare = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), ">>+", " ")
     return normalize(references(bare))

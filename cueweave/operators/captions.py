@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,23 +12,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"{T.SPACE}+"), lambda w: w != "")
 
 
-def parse(files: DataFrame, *, item: str = "item_id", body: str = "body", references=T.entities, strict: bool = False) -> DataFrame:
+def parse(files: DataFrame, *, item: str = "item_id", body: str = "body", references=T.references, strict: bool = True) -> DataFrame:
     """(item_id, ordinal, start, end, text) of the cues of VTT or SRT bodies.
 
     A cue is the first line of a block that has an arrow; the rest of the block, up to a blank line, is its text, another arrow line too.
-    What follows a time on its line is passed over. A cue without text is none. A time that can't be read is an error if strict, else the
-    cue is dropped. Ordinals count blocks and may have gaps.
+    What follows a time on its line is passed over. A cue without text is none. A time that can't be read (HH:MM:SS.mmm it has to be) is an
+    error if strict; else hours may be left out, and cues whose times still can't be read are those of `unread`. Ordinals count blocks and
+    may have gaps.
     """
-    blocks = F.split(F.regexp_replace(F.col(body), r"\r\n?", "\n"), r"\n[ \t\f\x0b]*(?=\n)")
+    cues = _cues(files, item, body, references, strict)
+    return cues.filter((F.col("text") != "") & F.col("start").isNotNull() & F.col("end").isNotNull()).drop("line")
+
+
+def unread(files: DataFrame, *, item: str = "item_id", body: str = "body") -> DataFrame:
+    """(item_id, ordinal, line) of the cues with a text that `parse` leaves out if it isn't strict."""
+    cues = _cues(files, item, body, T.references, False)
+    return cues.filter((F.col("text") != "") & (F.col("start").isNull() | F.col("end").isNull())).select("item_id", "ordinal", "line")
+
+
+def read(spark: SparkSession, path: str, *, item: Column | None = None) -> DataFrame:
+    """(item_id, body) of caption files, UTF-8 with what is malformed replaced; `item` is made of the column path, and is the file's stem if left out."""
+    files = spark.read.format("binaryFile").load(path)
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    return files.select((stem if item is None else item).alias("item_id"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "").alias("body"))
+
+
+def _cues(files: DataFrame, item: str, body: str, references, strict: bool) -> DataFrame:
+    blocks = F.split(F.regexp_replace(F.col(body), r"\r\n?|[\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n"), r"\n[ \t\f\x0b]*(?=\n)")
     rows = files.select(F.col(item).alias("item_id"), F.posexplode(blocks).alias("ordinal", "block"))
     line = F.regexp_extract("block", r"(?m)^(.*-->.*)$", 1)
     left = F.split(F.btrim(F.regexp_extract(line, r"^(.*?)-->", 1)), r"\s+")[0]
     right = F.regexp_extract(line, r"-->\s*(\S+)", 1)
     rest = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"\s*\n\s*", " ")
-    cues = rows.filter(F.col("block").contains("-->")).select(
-        "item_id", "ordinal", T.seconds(left, strict=strict).alias("start"), T.seconds(right, strict=strict).alias("end"), T.clean_markup(rest, references).alias("text")
+    return rows.filter(F.col("block").contains("-->")).select(
+        "item_id", "ordinal", T.seconds(left, strict=strict).alias("start"), T.seconds(right, strict=strict).alias("end"), T.clean_markup(rest, references).alias("text"), line.alias("line")
     )
-    return cues.filter((F.col("text") != "") & F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
 def drop_overlap(cues: DataFrame, *, item: str = "item_id", order: str = "ordinal", text: str = "text") -> DataFrame:

@@ -17,10 +17,45 @@ def audio_activity(frames: DataFrame, *, key: tuple[str, ...] = KEY, energy: str
     Quantiles are over the clip's frames above 0, exact; a clip without any has none active. A frame is active from the quantile on; the
     energy is over the 0.95 quantile.
     """
-    some = F.when(F.col(energy) > 0, F.col(energy))
-    per = frames.groupBy(*key).agg(F.percentile(some, quantile).alias("_low"), F.nullif(F.percentile(some, 0.95), F.lit(0.0)).alias("_scale"))
+    w = Window.partitionBy(*key)
     e = F.col(energy).cast("double")
-    return frames.join(per, list(key)).withColumns({"audio_active": F.coalesce(e >= F.col("_low"), F.lit(False)), "audio_energy": F.when(F.col("_scale").isNull() | e.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(e, F.col("_scale")))))}).drop("_low", "_scale")
+    some = F.when(e > 0, e)
+    low, scale = F.percentile(some, quantile).over(w), F.nullif(F.percentile(some, 0.95).over(w), F.lit(0.0))
+    rows = frames.withColumns({"_low": low, "_scale": scale})
+    over = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(e, F.col("_scale"))))
+    return rows.withColumns({"audio_active": F.coalesce(e >= F.col("_low"), F.lit(False)), "audio_energy": F.when(F.col("_scale").isNull() | e.isNull(), 0.0).otherwise(over)}).drop("_low", "_scale")
+
+
+def loudness(audio: DataFrame, *, fps: float = 25.0, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, frame_idx, energy): root mean square of the samples that go with each frame, channels being averaged first.
+
+    `audio` has samples (array, channels interleaved), rate, channels and frames, how many the clip has. Frames past the last sample have 0;
+    digital silence has a little more, so that it counts as sound.
+    """
+    per = F.greatest(F.lit(1), F.floor(F.col("rate") / fps).cast("int")) * F.col("channels")
+    rows = audio.withColumns({"_per": per, "frame_idx": F.explode(F.sequence(F.lit(0), F.col("frames") - 1))})
+    part = F.slice("samples", F.col("frame_idx") * F.col("_per") + 1, F.col("_per"))
+
+    def rms(x: Column) -> Column:
+        n = F.ceil(F.size(x) / F.col("channels")).cast("int")
+        one = lambda i: F.aggregate(F.slice(x, i * F.col("channels") + 1, F.col("channels")), F.lit(0.0), lambda s, v: s + v) / F.col("channels")
+        total = F.when(F.col("channels") == 1, F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v)).otherwise(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), one), F.lit(0.0), lambda s, v: s + v * v))
+        return F.when(F.size(x) > 0, F.sqrt(total / n + 1e-8)).otherwise(0.0)
+
+    return rows.select(*key, "frame_idx", let(part, rms).alias("energy"))
+
+
+def heard(audio: DataFrame, *, fps: float = 25.0, quantile: float = 0.55, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, frame_idx, audio_active, audio_energy) of the frames of clips of sound; where sample_bytes isn't 2, all is active at 1."""
+    known = audio_activity(loudness(audio.filter("sample_bytes = 2"), fps=fps, key=key), key=key, quantile=quantile).drop("energy")
+    other = audio.filter("sample_bytes <> 2").select(*key, F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame_idx"), F.lit(True).alias("audio_active"), F.lit(1.0).alias("audio_energy"))
+    return known.unionByName(other)
+
+
+def with_audio(frames: DataFrame, sound: DataFrame, *, key: tuple[str, ...] = KEY, index: str = "frame_idx") -> DataFrame:
+    """Frames with audio_active and audio_energy of the sound at the same place; silent where there is none."""
+    out = frames.join(sound.select(*key, F.col("frame_idx").alias(index), "audio_active", "audio_energy"), [*key, index], "left")
+    return out.withColumns({"audio_active": F.coalesce("audio_active", F.lit(False)), "audio_energy": F.coalesce("audio_energy", F.lit(0.0))})
 
 
 def sampled(frames: DataFrame, columns: list[str], *, stride: int = 5, key: tuple[str, ...] = KEY, index: str = "frame_idx") -> DataFrame:
@@ -56,6 +91,12 @@ def shape(points: Column) -> Column:
     return F.transform(points, lambda p: F.struct(((p["x"] - mean(xs)) / width).alias("x"), ((p["y"] - mean(ys)) / width).alias("y")))
 
 
+def opening(upper: Column, lower: Column, points: Column) -> Column:
+    """Distance in height of the inner lips' points, over the mouth's width (at least 1)."""
+    xs = F.transform(points, lambda p: p["x"].cast("double"))
+    return F.abs(lower["y"] - upper["y"]) / F.greatest(F.array_max(xs) - F.array_min(xs), F.lit(1.0))
+
+
 def shape_motion(a: Column, b: Column) -> Column:
     """Mean distance of the points of two shapes."""
     d = F.zip_with(a, b, lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
@@ -129,7 +170,7 @@ def ratio(part: Column, of: Column, none: float) -> Column:
 def metrics(frames: DataFrame, cfg: Visual | None = None, *, fps: float = 25.0, key: tuple[str, ...] = KEY, index: str = "frame_idx") -> DataFrame:
     """The eight metrics of each clip of frames with visible, cut, unstable, the motions, audio_active and audio_energy; not rounded.
 
-    One shuffle: the missing run's window and both aggregations go by the clip.
+    The missing run's window and the aggregation go by the clip, so that one shuffle does for both.
     """
     cfg = cfg or Visual()
     w = Window.partitionBy(*key).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
@@ -174,6 +215,11 @@ def sharpness(pixels: Column, width: int) -> Column:
     return let(F.transform(pixels, lambda x: x.cast("double")), lambda p: let(laplacian(p), spread))
 
 
+def clip_sharpness(frames: DataFrame, pixels: str, width: int, *, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, sharpness): mean over a clip's frames, to three places; 0 where none has a picture."""
+    return frames.groupBy(*key).agg(F.round(F.coalesce(F.avg(sharpness(F.col(pixels), width)), F.lit(0.0)), 3).alias("sharpness"))
+
+
 def landmark_slice(segments: DataFrame, landmarks: DataFrame, *, fps: float = 25.0) -> DataFrame:
     """(item_id, segment_id, frame_idx, points): each clip's landmarks out of its video's, from frame round(start * fps) on, null past the end.
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Segmentation
 from ..functions.text import drop_repeated_sentences, normalize
 
-WORD = "struct<o:array<bigint>,word:string,start:double,end:double,probability:double,timing_source:string,segment_confidence:double>"
-
 
 def gathered(words: DataFrame, cuts: DataFrame | None, *, item: str, order: list[str]) -> DataFrame:
     """(item, ws, cuts): each item's words in order, and its cuts, sorted and distinct."""
@@ -22,6 +20,7 @@ def gathered(words: DataFrame, cuts: DataFrame | None, *, item: str, order: list
         opt("probability", "double").cast("double").alias("probability"),
         opt("timing_source", "string").alias("timing_source"),
         opt("segment_confidence", "double").cast("double").alias("segment_confidence"),
+        opt("transcript_source", "string").alias("transcript_source"),
     )
     ws = words.groupBy(item).agg(F.array_sort(F.collect_list(one)).alias("ws"))
     none = F.array().cast("array<double>")
@@ -57,7 +56,7 @@ def _merged(cfg: Segmentation, strict: bool) -> str:
 
 
 def make(words: DataFrame, cuts: DataFrame | None = None, cfg: Segmentation | None = None, *, strict: bool = False, item: str = "item_id", order: tuple[str, ...] = ("cue", "position")) -> DataFrame:
-    """(item, segment_id, start, end, duration, text, word_count, asr_confidence) of each segment.
+    """(item, segment_id, start, end, duration, text, word_count, asr_confidence) of each segment, and transcript_source if the words have it.
 
     Words are taken in their order and never sorted by time. A group closes before a word if a cut lies between the word before and the
     word's end, if the word would make it too long, or if it is long enough and a sentence ended or the gap is wide (strict: wherever a
@@ -81,6 +80,7 @@ def make(words: DataFrame, cuts: DataFrame | None = None, cfg: Segmentation | No
     rows = rows.filter((F.col("_d") >= cfg.min_duration) & (F.col("_d") <= cfg.max_duration + cfg.pad_seconds + F.col("_pad")))
     trust = F.expr("aggregate(g, 0D, (s, w) -> s + least(coalesce(w.probability, 0D), coalesce(w.segment_confidence, 1D))) / size(g)")
     text = drop_repeated_sentences(normalize(F.expr("array_join(transform(g, w -> w.word), ' ')")))
+    source = [F.expr("g[0].transcript_source").alias("transcript_source")] if "transcript_source" in words.columns else []
     return rows.select(
         item,
         F.format_string("%06d", "i").alias("segment_id"),
@@ -90,6 +90,7 @@ def make(words: DataFrame, cuts: DataFrame | None = None, cfg: Segmentation | No
         text.alias("text"),
         F.size("g").alias("word_count"),
         F.round(trust, 5).alias("asr_confidence"),
+        *source,
     )
 
 

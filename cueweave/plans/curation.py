@@ -9,6 +9,10 @@ from ..config import Settings, verifies_lip_sync
 from ..operators import captions, frames, segments, verdict
 
 
+#: What words of captions are said to come from, by whether a machine made them.
+CAPTIONS = {False: "youtube_manual_subtitles", True: "youtube_auto_captions"}
+
+
 def transcript(cues: DataFrame, *, automatic: bool = False) -> DataFrame:
     """Words of cues, rolling repeats removed."""
     return captions.words(captions.drop_overlap(cues), float(0.82 if automatic else 1.0))
@@ -19,8 +23,8 @@ def route(items: DataFrame, caption_words: DataFrame, asr: DataFrame, *, use_asr
     cap = caption_words.select("item_id").distinct().withColumn("_cap", F.lit(True))
     kind = items.select("item_id").join(cap, "item_id", "left")
     cols = ["item_id", "cue", "position", "word", "start", "end", "probability", "timing_source", "segment_confidence", "transcript_source"]
-    a = caption_words.withColumn("transcript_source", F.lit("captions"))
-    b = asr.join(kind.filter("_cap is null").select("item_id"), "item_id", "left_semi").withColumn("transcript_source", F.lit("asr")) if use_asr else None
+    a = caption_words if "transcript_source" in caption_words.columns else caption_words.withColumn("transcript_source", F.lit(CAPTIONS[False]))
+    b = asr.join(kind.filter("_cap is null").select("item_id"), "item_id", "left_semi").withColumn("transcript_source", F.lit("whisper")) if use_asr else None
     whole = a if b is None else a.unionByName(b, allowMissingColumns=True)
     for c, t in (("timing_source", "string"), ("segment_confidence", "double")):
         if c not in whole.columns:

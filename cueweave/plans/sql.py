@@ -56,11 +56,6 @@ SELECT conv_id AS item_id, CAST(i AS INTEGER) AS ordinal, turn * 400 + (turn * 4
 SQL["normalize_text"] = f"SELECT doc_id, {norm('text')} AS text FROM documents"
 SQL["sentence_dedup"] = f"SELECT doc_id, {sentence_dedup('text')} AS text FROM documents"
 
-_markup = "regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '>>+', ' ', 'g')"
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _markup = f"replace({_markup}, '{_a}', '{_b}')"
-SQL["markup_clean"] = f"SELECT page_id, {norm(_markup)} AS text FROM pages"
-
 SQL["safe_id"] = f"""
 SELECT page_id, {safe_id("url")} AS id FROM pages
 UNION ALL SELECT page_id, {safe_id("x")} FROM (SELECT p_partkey AS page_id, '--' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END || '__' AS x FROM part)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 KINDS = {
     "transcribe": "struct<language:string,language_probability:double,segments:array<struct<start:double,end:double,avg_logprob:double,no_speech_probability:double,words:array<struct<word:string,start:double,end:double,probability:double>>>>>",
     "scene_log": "string",
-    "frames": "array<struct<frame_idx:int,histogram:array<float>,points:array<struct<x:double,y:double>>,opening:double,gray:array<int>,roi_ok:boolean,energy:double>>",
+    "frames": "array<struct<frame_idx:int,width:int,height:int,histogram:array<float>,points:array<struct<x:double,y:double>>,opening:double,gray:array<int>,roi_ok:boolean,energy:double>>",
     "faces": "array<struct<frame_idx:int,boxes:array<struct<x:double,y:double,w:double,h:double>>>>",
     "landmarks": "array<struct<frame_idx:int,points:array<struct<x:double,y:double>>>>",
     "speaker_scores": "array<double>",
     "normalize": "string",
     "extract_clip": "string",
     "crop": "struct<path:string,sharpness:double,face_found:boolean>",
-    "fetch": "string",
+    "fetch": "array<struct<item_id:string,path:string,source_url:string,title:string,channel:string,subtitle_path:string,subtitle_automatic:boolean>>",
+    "fetch_text": "string",
+    "mask_speaker": "string",
 }
 
 _kernels: dict[str, Callable[[], Callable[[dict[str, Any]], Any]]] = {}
@@ -104,3 +106,53 @@ def landmarks_or_null(detect: Callable[[list[Any]], list[Any]], frames: list[Any
         if "Cannot detect any frames" not in str(e):
             raise
         return [None] * len(frames)
+
+
+def fetched(results: DataFrame) -> DataFrame:
+    """(url, item_id, path, ...) of what a fetch (url, ok, result) brought: an entry of a playlist is an item, null entries are none.
+
+    What is kept of an item stands as source.<its extension> in its folder.
+    """
+    one = results.filter("ok").select("url", F.explode(F.filter("result", lambda e: e.isNotNull())).alias("e")).select("url", "e.*")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return one.withColumn("stored", F.concat_ws("/", F.lit("raw"), "item_id", F.concat(F.lit("source."), ext)))
+
+
+def clip_jobs(segments: DataFrame, sources: DataFrame, folder: str) -> DataFrame:
+    """What extract_clip is given for each segment: source, from when and for how long (0.01 s at least), and the files to write.
+
+    `sources` has item_id and normalized, the path of its normalized video.
+    """
+    at = lambda name: F.concat_ws("/", F.lit(folder), "item_id", "segment_id", F.lit(name))
+    length = F.greatest(F.lit(0.01), F.col("end") - F.col("start"))
+    rows = segments.join(sources.select("item_id", F.col("normalized").alias("source")), "item_id")
+    return rows.select(
+        "item_id", "segment_id", "source", F.format_string("%.3f", F.col("start").cast("double")).alias("start"), F.format_string("%.3f", length).alias("duration"),
+        at("source.mp4").alias("video_path"), at("audio.wav").alias("audio_path"), at("mouth.mp4").alias("mouth_path"), at("active_speaker.mp4").alias("active_speaker_path"),
+    )
+
+
+def left_behind(decided: DataFrame, folder: str) -> DataFrame:
+    """(path) of the files of rejected clips, which are to be deleted."""
+    names = ("source.mp4", "audio.wav", "active_speaker.mp4", "mouth.mp4", "transcript.txt")
+    rows = decided.filter("quality_status = 'rejected'").select("item_id", "segment_id", F.explode(F.array(*map(F.lit, names))).alias("f"))
+    return rows.select(F.concat_ws("/", F.lit(folder), "item_id", "segment_id", "f").alias("path"))
+
+
+def delete(paths: DataFrame) -> DataFrame:
+    """(path, deleted): deletes local or shared files, in the executors; one that isn't there is passed over."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = []
+            for p in batch.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
+                there = fs.get_file_info(at).type == pafs.FileType.File
+                if there:
+                    fs.delete_file(at)
+                gone.append(there)
+            yield pa.record_batch([batch.column(0), pa.array(gone)], ["path", "deleted"])
+
+    return paths.select("path").mapInArrow(run, "path string, deleted boolean")

@@ -17,11 +17,12 @@ _VISUAL = [c.split()[0] for c in VISUAL.split(", ")][1:-1]
 STATUSES = ("accepted", "review", "rejected")
 
 
-def read_records(spark: SparkSession, glob: str, *, strict: bool = True) -> DataFrame:
-    """Records of JSON files, one each; one that can't be read is an error, or is left out if not strict."""
+def read_records(spark: SparkSession, glob: str, *, strict: bool = True, lines: bool = False) -> DataFrame:
+    """Records of JSON files, one each or one a line; one that can't be read is an error, or is left out if not strict."""
+    read = spark.read.schema(RECORD).option("multiLine", not lines)
     if strict:
-        return spark.read.schema(RECORD).option("multiLine", True).option("mode", "FAILFAST").json(glob)
-    return spark.read.schema(RECORD).option("multiLine", True).option("mode", "DROPMALFORMED").json(glob).filter("item_id is not null")
+        return read.option("mode", "FAILFAST").json(glob)
+    return read.option("mode", "DROPMALFORMED").json(glob).filter("item_id is not null")
 
 
 def flat(records: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def publish(records: DataFrame, folder: str) -> None:
     try:
         ordered.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/all.jsonl")
         for name, rows in split(flat(ordered)).items():
-            _csv(rows).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(f"{folder}/{name}.csv")
+            _csv(rows).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\r\n").csv(f"{folder}/{name}.csv")
     finally:
         ordered.unpersist()
 
@@ -72,6 +73,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
+def write_json(rows: DataFrame, folder: str, *, by: list[str] | None = None) -> None:
+    """Writes rows as JSON, nulls and all; with `by`, those of each value in files of its own."""
+    out = rows.repartition(*by) if by else rows
+    writer = out.write.mode("overwrite").option("ignoreNullFields", False)
+    (writer.partitionBy(*by) if by else writer).json(folder)
+
+
 def write_text(rows: DataFrame, column: str, folder: str) -> None:
     rows.select(F.col(column).alias("value")).write.mode("overwrite").text(folder)
 
@@ -108,4 +116,4 @@ def push(records: DataFrame, root: str, contributor: str, statuses: list[str]) -
 def pull(spark: SparkSession, root: str, contributor: str | None = None) -> DataFrame:
     """The shared table, or one contributor's part of it, of which alone the folder is read."""
     rows = spark.read.parquet(root)
-    return rows if contributor is None else rows.filter(F.col("contributor") == spark.range(1).select(slug(F.lit(contributor))).first()[0])
+    return rows if contributor is None else rows.filter(F.col("contributor") == slug(F.lit(contributor)))  # a constant by the time the folders are listed

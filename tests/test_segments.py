@@ -1,6 +1,8 @@
 """Segmentation against worked cases and a plain model."""
 
+import html
 import re
+from html.entities import html5
 
 import numpy as np
 import pytest
@@ -119,10 +121,10 @@ def test_intro_is_left_out_and_ids_are_dense(spark):
 
 
 def test_rolling_captions(spark):
-    said = ["Bağımlılık normaldir dersek", "Bağımlılık normaldir dersek", "Bağımlılık normaldir dersek başımız derde", "başımız derde girer mi?", " "]
+    said = ["Deniz bugün çok dalgalı", "Deniz bugün çok dalgalı", "Deniz bugün çok dalgalı ama kayıklar", "ama kayıklar döner mi?", " "]
     df = spark.createDataFrame([("a", i, float(i), i + 1.0, t) for i, t in enumerate(said)], "item_id string, ordinal int, start double, end double, text string")
     got = [r.text for r in C.drop_overlap(df).orderBy("ordinal").collect()]
-    assert got == ["Bağımlılık normaldir dersek", "başımız derde", "girer mi?"]
+    assert got == ["Deniz bugün çok dalgalı", "ama kayıklar", "döner mi?"]
 
 
 VTT = """WEBVTT
@@ -147,16 +149,25 @@ x"""
 
 def test_parse(spark):
     df = spark.createDataFrame([("a", VTT), ("b", VTT.replace("\n", "\r\n")), ("c", None), ("d", "")], "item_id string, body string")
-    got = C.parse(df).orderBy("item_id", "start").collect()
+    got = C.parse(df, strict=False).orderBy("item_id", "start").collect()
     want = [(1.0, 2.5, "one two three"), (301.25, 302.0, "Tom & >> 00:00:09.000 --> 00:00:10.000 swallowed")]
     assert [(r.item_id, r.start, r.end, r.text) for r in got] == [(i, *w) for i in "ab" for w in want]
     with pytest.raises(Exception, match="no time in"):
-        C.parse(df.limit(1), strict=True).collect()
+        C.parse(df.limit(1)).collect()
+    assert [(r.item_id, r.line) for r in C.unread(df).orderBy("item_id").collect()] == [("a", "bad --> worse"), ("b", "bad --> worse")]
+    strict = C.parse(spark.createDataFrame([("e", "00:00:01.000 --> 00:00:02.000\nx"), ("f", "00:01.000 --> 00:02.000\ny")], "item_id string, body string"))
+    assert strict.filter("item_id = 'e'").count() == 1
+    with pytest.raises(Exception, match="no time in"):
+        strict.collect()
 
 
 def test_text(spark):
     cases = {
-        "Başımız derde girer mi? Başımız derde girer mi? Delirmek normaldir.": "Başımız derde girer mi? Delirmek normaldir.",
+        "Kayıklar döner mi? Kayıklar döner mi? Evet dönerler.": "Kayıklar döner mi? Evet dönerler.",
+        "a.b!!c": "a. b! c",
+        "..a": "a",
+        "one . one": "one.",
+        "x y. X  Y!": "x y.",
         "STRASSE. straße! x": "STRASSE. x",
         "Hello... World": "Hello. World",
         "...": "...",
@@ -166,7 +177,7 @@ def test_text(spark):
     for r in df.select("want", T.drop_repeated_sentences(F.col("t")).alias("got")).collect():
         assert r.got == r.want
     one = spark.createDataFrame([("İbrahim K!", " ..a b/c.. ", "&lt;b&gt; <i>x</i> >> y &eacute;")], "a string, b string, c string")
-    r = one.select(T.slug(F.col("a")), T.safe_id(F.col("b")), T.clean_markup(F.col("c"), T.unescape)).first()
+    r = one.select(T.slug(F.col("a")), T.safe_id(F.col("b")), T.clean_markup(F.col("c"))).first()
     assert tuple(r) == ("i-brahim-k", "a_b_c", "<b> x y é")
     long = spark.createDataFrame([("x" * 300, "çğ")], "a string, b string").select(T.safe_id(F.col("a")).alias("a"), T.safe_id(F.col("b")).alias("b")).first()
     assert len(long.a) == 100 and re.fullmatch("[0-9a-f]{16}", long.b)
@@ -175,3 +186,38 @@ def test_text(spark):
 def test_scene_times(spark):
     df = spark.createDataFrame([("x pts_time:4.50049 y\npts_time:1.2 pts_time:1.2",), ("none",)], "log string")
     assert [r[0] for r in df.select(S.scene_times(F.col("log"))).collect()] == [[1.2, 4.5], []]
+
+
+def test_references_and_case_against_python(spark):
+    rng = np.random.default_rng(3)
+    some = [n for n in html5 if rng.random() < 0.15]
+    texts = [f"a&{n} b&{n[:-1]}x &{n};;" for n in some] + [f"&#{i};&#x{i:x} &#{i:07d};" for i in [*range(0, 300), 0xD800, 0xFDD0, 0xFFFF, 0x1F600, 0x10FFFF, 0x110000, 10**12]] + ["&", "&&amp;&", "&#x;", "&#; & x", "no", "&amp;#33;", "&ampamp;", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.references(F.col("t")).alias("got")).collect():
+        assert r.got == (None if r.t is None else html.unescape(r.t)), r
+    words = ["".join(chr(int(c)) for c in rng.integers(33, 0x2FF, 6)) for _ in range(200)] + [chr(c) + "X" for c in range(0x1E00, 0x2000)] + ["ΣΑΣ σς", "ıIİi", "ﬃ ﬄ ŉ ẞß", "Ꭰꭰ"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for r in df.select("t", T.casefold(F.col("t")).alias("got")).collect():
+        assert r.got == r.t.casefold(), r
+
+
+def plain_sentences(text):
+    """The definition, sentence by sentence."""
+    flat = re.sub(r"\s+", " ", text)
+    norm = lambda s: re.sub(r"\s+([,.!?;:])", r"\1", re.sub(r"\s+", " ", s).strip())
+    out, last = [], None
+    for s in re.findall(r"[^!?.]+[!?.]?", flat):
+        key = norm(s.strip().casefold()).strip(".!?")
+        if not key or key != last:
+            out.append(s.strip())
+        last = key
+    return norm(" ".join(out)) if re.search(r"[^!?.]", flat) else norm(text)
+
+
+def test_repeated_sentences_against_plain_version(spark):
+    rng = np.random.default_rng(4)
+    bits = ["ab", "AB", "a", " ", "  ", ".", "!", "?", "..", " .", ",", " ,", "c d", "ß", "ss", "\n"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 14)))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.drop_repeated_sentences(F.col("t")).alias("got")).collect():
+        assert r.got == plain_sentences(r.t), r

@@ -191,6 +191,37 @@ def test_routing(spark):
     w = "item_id string, cue int, position int, word string, start double, end double, probability double"
     cap = spark.createDataFrame([("a", 0, 0, "x", 0.0, 1.0, 1.0)], w)
     asr = spark.createDataFrame([("a", 0, 0, "y", 0.0, 1.0, 0.5), ("b", 0, 0, "z", 0.0, 1.0, 0.5)], w)
-    assert {(r.item_id, r.word, r.transcript_source) for r in curation.route(items, cap, asr).collect()} == {("a", "x", "captions"), ("b", "z", "asr")}
+    assert {(r.item_id, r.word, r.transcript_source) for r in curation.route(items, cap, asr).collect()} == {("a", "x", "youtube_manual_subtitles"), ("b", "z", "whisper")}
     with pytest.raises(Exception, match="no words for item b"):
         curation.route(items, cap, asr, use_asr=False).collect()
+
+
+def test_caption_files_with_malformed_bytes(spark, tmp_path):
+    from cueweave.operators import captions
+
+    (tmp_path / "my talk.tr.vtt").write_bytes(b"\xef\xbb\xbfWEBVTT\r\r00:00:01.000 --> 00:00:02.000\rcaf\xe9 \xc3\xa9&eacute;\r\r")
+    files = captions.read(spark, str(tmp_path))
+    assert [(r.item_id, r.start, r.text) for r in captions.parse(files).collect()] == [("my talk.tr", 1.0, "caf\ufffd éé")]
+
+
+def test_delete_and_json(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    df = spark.createDataFrame([(f"{tmp_path}/a",), (f"file://{tmp_path}/b",)], "path string")
+    assert {r.path.rsplit("/", 1)[1]: r.deleted for r in K.delete(df).collect()} == {"a": True, "b": False} and not (tmp_path / "a").exists()
+    M.write_json(spark.createDataFrame([(1, None), (2, "é")], "k int, v string"), f"{tmp_path}/j", by=["k"])
+    assert {(r.k, r.v) for r in spark.read.json(f"{tmp_path}/j").collect()} == {(1, None), (2, "é")} and os.path.isdir(tmp_path / "j" / "k=1")
+
+
+def test_a_broken_off_run_never_shows(spark, tmp_path):
+    items = spark.createDataFrame([("a",), ("b",)], "item_id string")
+    row = lambda todo, v: todo.select("item_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(v).alias("v"))
+    state.staged(items, "s", lambda t: row(t, 1), str(tmp_path))
+
+    def broken(todo):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        state.staged(items, "s", broken, str(tmp_path), force=True)
+    row(items, 9).withColumn("_run", F.lit("lost")).write.mode("append").parquet(f"{tmp_path}/s")
+    assert state.latest(state.read(spark, f"{tmp_path}/state")).filter("status = 'running'").count() == 2
+    assert {(r.item_id, r.v) for r in state.staged(items, "s", lambda t: row(t, 2), str(tmp_path)).collect()} == {("a", 2), ("b", 2)}
