@@ -14,6 +14,9 @@ from .core import let
 
 #: White space as Unicode has it; Java's \\s alone is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_OTHER = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that isn't one space already.
+_UNEVEN = rf" *+[{_OTHER}][ {_OTHER}]*+| {{2,}}"
 _SENTENCE = r"[^!?.]+[!?.]?"
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 #: Names that need no semicolon, the longest first.
@@ -25,6 +28,21 @@ _ONE = {k: v for k, v in _LOWERED.items() if len(v) == 1}
 _MANY = {k: v for k, v in _LOWERED.items() if len(v) > 1}
 
 
+#: Where the characters are, sharp s aside, that fold to other than their lower case.
+_FOLDED = r"[\xB5\x{149}-\x{3FF}\x{587}\x{13A0}-\x{13FF}\x{1C80}-\x{1C8F}\x{1E90}-\x{1FFF}\x{AB70}-\x{ABBF}\x{FB00}-\x{FB17}]"
+
+
+def _class(chars: dict[str, str]) -> str:
+    """A class of few ranges that holds the characters, and some between."""
+    ends: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ends and c - ends[-1][1] < 8:
+            ends[-1][1] = c
+        else:
+            ends.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ends) + "]"
+
+
 def _table(of: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(of)), "map<string,string>")
 
@@ -36,16 +54,20 @@ def substituted(text: Column, pattern: str, by: Callable[[Column], Column]) -> C
     return F.when(text.rlike(pattern), F.array_join(both, "")).otherwise(text)
 
 
+def _tidy(text: Column) -> Column:
+    return F.regexp_replace(F.btrim(text), r" +([,.!?;:])", "$1")
+
+
 def normalize(text: Column) -> Column:
     """White space runs as one space, none at the ends and none before a sign of punctuation."""
-    t = F.regexp_replace(text, f"{SPACE}+", " ")
-    return F.regexp_replace(F.btrim(t), r" +([,.!?;:])", "$1")
+    return _tidy(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def casefold(text: Column) -> Column:
     """Text as it compares without regard to case."""
-    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    return substituted(low, f"[{''.join(_MANY)}]", lambda c: F.element_at(_table(_MANY), c))
+    low = F.lower(text)
+    full = substituted(F.translate(low, "".join(_ONE), "".join(_ONE.values())), _class(_MANY), lambda c: F.coalesce(F.element_at(_table(_MANY), c), c))
+    return F.when(low.rlike(_FOLDED), full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def sentences(text: Column) -> Column:
@@ -59,8 +81,8 @@ def drop_repeated_sentences(text: Column) -> Column:
     A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before. Only
     texts in which something stands twice between marks are taken apart, which one search finds out.
     """
-    plain = F.regexp_replace(text, f"{SPACE}+", " ")
-    twice = casefold(normalize(plain)).rlike(r"(?:^|[!?.])[!?. ]*+([^!?.]++)[!?.][!?. ]*+\1(?:[!?.]|$)")
+    plain = F.regexp_replace(text, _UNEVEN, " ")
+    twice = casefold(_tidy(plain)).rlike(r"(?:^|[!?.])[!?. ]*+([^!?.]++)[!?.][!?. ]*+\1(?:[!?.]|$)")
     # no mark after another or at the start, and a space after each: what taking apart and joining comes to
     whole = normalize(F.regexp_replace(F.regexp_replace(plain, r"^[!?.]+|(?<=[!?.])[!?.]+", ""), r"([!?.])(?=[^ !?.])", "$1 "))
     bare = F.transform(F.regexp_extract_all(plain, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s))

@@ -278,7 +278,7 @@ def clip_rows(spark, d):
     return c, m
 
 
-LOOSE = {"mouth_visible_ratio": "mouth_visible_ratio + 0.2", "scene_cut_ratio": "scene_cut_ratio / 10", "max_missing_run_seconds": "max_missing_run_seconds", "unstable_landmark_ratio": "unstable_landmark_ratio / 2", "static_speech_ratio": "static_speech_ratio / 2", "speech_mouth_motion_ratio": "speech_mouth_motion_ratio", "lip_sync_correlation": "lip_sync_correlation - 0.9"}
+LOOSE = {"mouth_visible_ratio": "mouth_visible_ratio + 0.3", "scene_cut_ratio": "scene_cut_ratio / 30", "max_missing_run_seconds": "max_missing_run_seconds", "unstable_landmark_ratio": "unstable_landmark_ratio / 4", "static_speech_ratio": "static_speech_ratio / 4", "speech_mouth_motion_ratio": "speech_mouth_motion_ratio", "lip_sync_correlation": "lip_sync_correlation - 0.9"}
 
 
 def judged(spark, d, profile):

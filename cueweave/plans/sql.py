@@ -203,7 +203,7 @@ s AS (SELECT clip, track, coalesce(avg(motion), 0) * least(1.0, count(*) / any_v
 SELECT clip, track, round(score, 5) AS score, round(coverage, 5) AS coverage FROM s QUALIFY row_number() OVER (PARTITION BY clip ORDER BY score DESC, coverage DESC, track) = 1
 """
 
-_loose = {"mouth_visible_ratio": "mouth_visible_ratio + 0.2", "scene_cut_ratio": "scene_cut_ratio / 10", "unstable_landmark_ratio": "unstable_landmark_ratio / 2", "static_speech_ratio": "static_speech_ratio / 2", "lip_sync_correlation": "lip_sync_correlation - 0.9"}
+_loose = {"mouth_visible_ratio": "mouth_visible_ratio + 0.3", "scene_cut_ratio": "scene_cut_ratio / 30", "unstable_landmark_ratio": "unstable_landmark_ratio / 4", "static_speech_ratio": "static_speech_ratio / 4", "lip_sync_correlation": "lip_sync_correlation - 0.9"}
 
 
 def _every(at: int, verify: bool) -> str:

@@ -225,3 +225,22 @@ def test_a_broken_off_run_never_shows(spark, tmp_path):
     row(items, 9).withColumn("_run", F.lit("lost")).write.mode("append").parquet(f"{tmp_path}/s")
     assert state.latest(state.read(spark, f"{tmp_path}/state")).filter("status = 'running'").count() == 2
     assert {(r.item_id, r.v) for r in state.staged(items, "s", lambda t: row(t, 2), str(tmp_path)).collect()} == {("a", 2), ("b", 2)}
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from cueweave.sources.shared import shared_dir
+
+    def session(master, conf=None, checkpoint=None):
+        known = SimpleNamespace(isDefined=lambda: checkpoint is not None, get=lambda: checkpoint)
+        inner = SimpleNamespace(getCheckpointDir=lambda: known)
+        sc = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=SimpleNamespace(sc=lambda: inner))
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: conf))
+
+    assert shared_dir(session("yarn", conf="hdfs://a/b/")) == "hdfs://a/b" and shared_dir(session("spark://h:1", checkpoint="s3a://c")) == "s3a://c"
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", "k8s://https://h"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    own = session("local[4]")
+    assert shared_dir(own).startswith("file:///") and shared_dir(own) == shared_dir(own)
