@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._state import written
 from ._vec import Powers, U, chunks, mix, span_hash, token_bounds, window_hash
 
 #: Words of a window; an item of fewer words is one window. An item of fewer than LEAST is found only where it is the whole document.
@@ -182,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: s
     An item of fewer than LEAST words matches the documents that are nothing else, word for word. Rows with a null key and texts without a
     word match nothing; repeated rows count once. Keys keep their types, other columns play no part.
     """
-    bench = _windows(benchmark, item, item_text, None, None)
+    bench = written(_windows(benchmark, item, item_text, None, None), "benchmark-windows")
     lengths = sorted(r[0] for r in bench.select("n").distinct().collect())
     hits = docs.sparkSession.sparkContext.broadcast(benchmark_filter(bench))
     found = _windows(docs, key, text, lengths, hits).select(F.col("id").alias("doc_id"), F.col("at").alias("p"), "n", "literal", "weak", "h", F.col("slots").alias("ds"))
