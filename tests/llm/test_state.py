@@ -1,5 +1,6 @@
 import os
 
+from cueweave.llm import _state
 from cueweave.llm import pipeline as P
 from cueweave.llm._state import CLEANUP, drop, scope, written
 
@@ -17,11 +18,7 @@ def test_written_tables_of_a_scope(spark):
     drop(b, a)
 
 
-def test_the_pipeline_leaves_its_result_alone(spark, tmp_path):
-    was = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = P.run(spark, SF)
-        assert out.count() > 0 and [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)] == ["mixing"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if was is None else spark.conf.set("spark.checkpoint.dir", was)
+def test_the_pipeline_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_state, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = P.run(spark, SF)
+    assert out.count() > 0 and [d.rsplit("-", 1)[0] for d in os.listdir(tmp_path)] == ["mixing"]
