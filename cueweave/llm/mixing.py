@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._vec import SCRIPT_CLASS, SPACE_CLASS
 
+BLANK = " \t\n\r\f\x0b"
 #: A token: a sign of a script without spaces, or a maximal run of what is neither that nor white space.
 TOKEN = rf"[{SCRIPT_CLASS}]|[^ \t\n\r\f\x0b{SPACE_CLASS}{SCRIPT_CLASS}]+"
 #: Most sources whose rates are broadcast; more are joined by shuffle, with each source in SALTS partitions.
@@ -18,8 +19,14 @@ SPREAD = 1000
 
 
 def tokens(text: Column) -> Column:
-    """How many tokens a text has; none of a null."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+    """How many tokens a text has; none of a null.
+
+    Texts without a character from Thai on upwards, nor either of the two spaces below it, are split at blanks, which comes to the same in less time.
+    """
+    bare = F.btrim(text, F.lit(BLANK))
+    split = F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{BLANK}]+")))
+    any_ = F.when(text.rlike(r"[\x85\xA0\x{E00}-\x{10FFFF}]"), F.regexp_count(text, F.lit(TOKEN))).otherwise(split)
+    return F.when(text.isNull(), 0).otherwise(any_)
 
 
 def coin(key: Column, seed: int) -> Column:
