@@ -4,19 +4,15 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import let
-
 #: White space as Unicode has it; Java's \\s alone is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-_OTHER = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space that isn't one space already.
-_UNEVEN = rf" *+[{_OTHER}][ {_OTHER}]*+| {{2,}}"
 _SENTENCE = r"[^!?.]+[!?.]?"
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 #: Names that need no semicolon, the longest first.
@@ -60,7 +56,7 @@ def _tidy(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """White space runs as one space, none at the ends and none before a sign of punctuation."""
-    return _tidy(F.regexp_replace(text, _UNEVEN, " "))
+    return _tidy(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def casefold(text: Column) -> Column:
@@ -75,24 +71,41 @@ def sentences(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
 
 
+_PART, _LOOSE = re.compile(_SENTENCE), re.compile(r" +([,.!?;:])")
+
+
+def once(text: str | None) -> str | None:
+    """What drop_repeated_sentences makes of one text."""
+    if text is None:
+        return None
+    flat = " ".join(text.split())
+    if text and (text[0].isspace() or text[-1].isspace()):  # a blank at either end is a sentence of nothing, or the beginning of one
+        flat = f" {flat}" if not flat else " " * text[0].isspace() + flat + " " * text[-1].isspace()
+    parts = _PART.findall(flat)
+    loose = _LOOSE.search(flat) is not None
+    out, last = [], None
+    for part in parts:
+        part = part.strip(" ")
+        key = part.casefold()
+        key = (_LOOSE.sub(r"\1", key) if loose else key).strip(".!?")
+        if not key or key != last:
+            out.append(part)
+        last = key
+    return _LOOSE.sub(r"\1", " ".join(" ".join(out if parts else [flat]).split()))
+
+
 def drop_repeated_sentences(text: Column) -> Column:
     """The text without sentences equal to the one before, case and end marks aside.
 
-    A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before. Only
-    texts in which something stands twice between marks are taken apart, which one search finds out.
+    A sentence without anything but marks is never dropped, and is not what the next is compared with unless it is the one before. A pass over
+    Arrow batches: expressions that take a text apart and compare its pieces cost several times as much.
     """
-    plain = F.regexp_replace(text, _UNEVEN, " ")
-    twice = casefold(_tidy(plain)).rlike(r"(?:^|[!?.])[!?. ]*+([^!?.]++)[!?.][!?. ]*+\1(?:[!?.]|$)")
-    # no mark after another or at the start, and a space after each: what taking apart and joining comes to
-    whole = normalize(F.regexp_replace(F.regexp_replace(plain, r"^[!?.]+|(?<=[!?.])[!?.]+", ""), r"([!?.])(?=[^ !?.])", "$1 "))
-    bare = F.transform(F.regexp_extract_all(plain, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s))
-    parts = F.transform(bare, lambda s: F.struct(s.alias("s"), F.btrim(F.regexp_replace(casefold(s), r" +([,.!?;:])", "$1"), F.lit(".!?")).alias("k")))
-
-    def joined(p: Column) -> Column:
-        kept = F.filter(p, lambda x, i: (x["k"] == "") | (i == 0) | (x["k"] != F.get(p, i - 1)["k"]))
-        return F.array_join(F.transform(kept, lambda x: x["s"]), " ")
-
-    return F.when(twice, normalize(let(parts, joined))).when(text.rlike("[^!?.]"), whole).otherwise(normalize(text))
+
+    @F.pandas_udf("string")
+    def batch(texts):  # type: ignore[no-untyped-def]
+        return texts.map(once)
+
+    return batch(text)
 
 
 def references(text: Column) -> Column:
