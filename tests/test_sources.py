@@ -41,6 +41,35 @@ def test_entries_and_local_files(spark, tmp_path):
     assert (r.item_id, r.title, r.size, r.channel) == ("My_clip_1", "My clip (1)", 3, None) and r.source_url.startswith("file:")
 
 
+def test_local_items_kept_as_folders(spark, tmp_path):
+    (tmp_path / "v1.mp4").mkdir()
+    at = tmp_path / "v1.mp4"
+    (at / "one.mp4").write_bytes(b"abc")
+    (at / "two.mp4" / "k=1").mkdir(parents=True)
+    for name, body in (("part-0", b"ab"), ("part-1", b"cde"), ("_SUCCESS", b""), ("k=1/part-2", b"fg")):
+        (at / "two.mp4" / name).write_bytes(body)
+    (at / "none.mp4").mkdir()
+    found = lambda glob: sorted((r.item_id, r.title, r.size, r.path.rsplit("/", 1)[1]) for r in L.local_items(spark, glob).collect())
+    want = [("one", "one", 3, "one.mp4"), ("two", "two", 7, "two.mp4")]
+    assert found(f"{at}/*.mp4") == found(f"file://{at}/*.mp4") == found(f"{tmp_path}/*/{{one,two}}.mp4") == want
+    (at / "folder").mkdir()
+    (at / "folder" / "a.mp4").write_bytes(b"x")
+    assert [r[0] for r in found(f"{at}/fold*")] == [r[0] for r in found(str(at / "folder"))] == ["a"]
+
+
+def test_local_files_of_tables_in_parts(spark, tmp_path):
+    import shutil
+
+    import __spark_entry__ as e
+
+    shutil.copytree(SF, tmp_path / "sf")
+    (tmp_path / "whole").write_bytes((tmp_path / "sf" / "documents.parquet").read_bytes())
+    os.remove(tmp_path / "sf" / "documents.parquet")
+    spark.read.parquet(str(tmp_path / "whole")).repartition(3).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    got, plain = e.queries()["local_files"], lambda rows: sorted(map(tuple, rows.collect()))
+    assert plain(got(spark, f"{tmp_path}/sf")) == plain(got(spark, SF)) and len(plain(got(spark, SF))) == 14
+
+
 def test_records_manifests_and_sharing(spark, tmp_path):
     for i, s in enumerate(["accepted", "review", "rejected", None]):
         d = tmp_path / "clips" / "it" / f"{i:06d}"
