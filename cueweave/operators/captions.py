@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +35,44 @@ def unread(files: DataFrame, *, item: str = "item_id", body: str = "body") -> Da
     return cues.filter((F.col("text") != "") & (F.col("start").isNull() | F.col("end").isNull())).select("item_id", "ordinal", "line")
 
 
+#: Folders that `write` spreads its files over.
+FOLDERS = 64
+
+
+def write(bodies: DataFrame, folder: str, *, item: str = "item_id", body: str = "body") -> None:
+    """Caption files, one an item, as `folder`/number/item.vtt; `read` has them back from `folder`/*.
+
+    The executors write each file under a name of its own and rename it when whole, without a folder an item or a commit that goes over all
+    files. An item's name has to do as a file's; null is an error. A null body is an empty file.
+    """
+    run_id = uuid.uuid4().hex[:12]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        made = set()
+        for batch in batches:
+            for name, part, text in zip(*batch.columns):
+                at = f"{base}/{part.as_py()}"
+                if at not in made:
+                    fs.create_dir(at, recursive=True)
+                    made.add(at)
+                temp = f"{at}/.{run_id}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(temp) as f:
+                    f.write(text.as_buffer())
+                fs.move(temp, f"{at}/{name.as_py()}.vtt")
+            yield pa.record_batch([batch.column(0)], ["item"])
+
+    name = F.col(item).cast("string")
+    named = F.when(name.isNull() | (name == "") | name.startswith(".") | name.startswith("_") | name.contains("/"), F.raise_error(F.concat(F.lit("no name for a caption file: "), F.coalesce(name, F.lit("null")))).cast("string")).otherwise(name)
+    rows = bodies.select(named.alias("item"), F.pmod(F.xxhash64(name), F.lit(FOLDERS)).alias("part"), F.coalesce(F.col(body), F.lit("")).cast("binary").alias("body"))
+    rows.mapInArrow(run, "item string").write.format("noop").mode("overwrite").save()
+
+
 def read(spark: SparkSession, path: str, *, item: Column | None = None) -> DataFrame:
-    """(item_id, body) of caption files, UTF-8 with what is malformed replaced; `item` is made of the column path, and is the file's stem if left out."""
+    """(item_id, body) of caption files, UTF-8 with what is malformed replaced; `item` is made of the column path, and is the file's stem if left out.
+
+    Folders are listed in a task each; so is every file that a pattern for files stands for, so many are better given by their folders.
+    """
     files = spark.read.format("binaryFile").load(path)
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
     return files.select((stem if item is None else item).alias("item_id"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "").alias("body"))
@@ -44,9 +85,9 @@ def _cues(files: DataFrame, item: str, body: str, references, strict: bool) -> D
     left = F.split(F.btrim(F.regexp_extract(line, r"^(.*?)-->", 1)), r"\s+")[0]
     right = F.regexp_extract(line, r"-->\s*(\S+)", 1)
     rest = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1), r"\s*\n\s*", " ")
-    return rows.filter(F.col("block").contains("-->")).select(
-        "item_id", "ordinal", T.seconds(left, strict=strict).alias("start"), T.seconds(right, strict=strict).alias("end"), T.clean_markup(rest, references).alias("text"), line.alias("line")
-    )
+    cue = F.struct(T.seconds(left, strict=strict).alias("start"), T.seconds(right, strict=strict).alias("end"), T.clean_markup(rest, references).alias("text"), line.alias("line"))
+    # a generator, so that what filters these columns doesn't have them worked out again
+    return rows.filter(F.col("block").contains("-->")).select("item_id", "ordinal", F.inline(F.array(cue)))
 
 
 def drop_overlap(cues: DataFrame, *, item: str = "item_id", order: str = "ordinal", text: str = "text") -> DataFrame:

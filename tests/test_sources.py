@@ -233,6 +233,43 @@ def test_caption_files_with_malformed_bytes(spark, tmp_path):
     assert [(r.item_id, r.start, r.text) for r in captions.parse(files).collect()] == [("my talk.tr", 1.0, "caf\ufffd éé")]
 
 
+def test_caption_files_written_and_listed_by_folders(spark, tmp_path):
+    """No folder, no commit and no listing task an item: 300 files come in the folders of a fixed number."""
+    from cueweave.operators import captions
+
+    bodies = spark.range(300).select(F.concat(F.lit("talk "), "id").alias("item_id"), F.concat(F.lit("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\né &amp; "), "id", F.lit("\n")).alias("body"))
+    bodies = bodies.unionByName(spark.createDataFrame([("empty", None)], "item_id string, body string"))
+    for _ in range(2):  # again over what is there
+        captions.write(bodies, f"file://{tmp_path}/c")
+    assert len(os.listdir(tmp_path / "c")) <= captions.FOLDERS and sum(len(f) for _, _, f in os.walk(tmp_path / "c")) == 301
+    files = captions.read(spark, f"{tmp_path}/c/*")
+    assert files.count() == 300 and len(files.inputFiles()) == 301  # Spark passes over what is empty
+    assert {(r.item_id, r.start, r.text) for r in captions.parse(files).collect()} == {(f"talk {i}", 1.0, f"é & {i}") for i in range(300)}
+    for bad in (None, "a/b", "", "_a"):
+        with pytest.raises(Exception, match="no name for a caption file"):
+            captions.write(spark.createDataFrame([(bad, "x")], "item_id string, body string"), f"{tmp_path}/d")
+
+
+def test_caption_files_query_has_no_folder_an_item(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+    from cueweave.operators import captions
+    from cueweave.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = e.queries()["caption_files"](spark, SF)
+    files = [os.path.join(at, f) for at, _, names in os.walk(tmp_path) for f in names]
+    assert len({os.path.dirname(f) for f in files}) <= captions.FOLDERS
+    assert len(files) == rows.select("item_id").distinct().count() == Q.t(spark, SF, "conversations").select("conv_id").distinct().count()
+
+
+def test_cues_are_worked_out_once(spark):
+    from cueweave.operators import captions
+
+    files = spark.createDataFrame([(1, "00:00:01.000 --> 00:00:02.000\na &amp; b\n")], "item_id int, body string").repartition(1)
+    plan = captions.parse(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1, plan
+
+
 def test_delete_and_json(spark, tmp_path):
     (tmp_path / "a").write_text("x")
     df = spark.createDataFrame([(f"{tmp_path}/a",), (f"file://{tmp_path}/b",)], "path string")
