@@ -221,3 +221,12 @@ def test_repeated_sentences_against_plain_version(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", T.drop_repeated_sentences(F.col("t")).alias("got")).collect():
         assert r.got == plain_sentences(r.t), r
+
+
+def test_repeated_sentences_hold_few_texts_at_a_time(spark):
+    """Not an Arrow batch of 10,000, however long they are; nulls, and signs that JSON and pickle tell apart, come through."""
+    texts = [None, "", "a\x00b. A\x00B! c", "\U0001f600 x. \U0001F600 X. y", "\ud7ff. z"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.drop_repeated_sentences(F.col("t")).alias("got"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r.got for r in out.collect()] == [None if t is None else plain_sentences(t) for t in texts]
