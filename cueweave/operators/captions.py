@@ -73,7 +73,8 @@ def read(spark: SparkSession, path: str, *, item: Column | None = None) -> DataF
 
     Folders are listed in a task each; so is every file that a pattern for files stands for, so many are better given by their folders.
     """
-    files = spark.read.format("binaryFile").load(path)
+    # a scan has a task for every few small files; a narrow coalesce takes them one after another
+    files = spark.read.format("binaryFile").load(path).coalesce(8 * spark.sparkContext.defaultParallelism)
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
     return files.select((stem if item is None else item).alias("item_id"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "").alias("body"))
 

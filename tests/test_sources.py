@@ -243,6 +243,7 @@ def test_caption_files_written_and_listed_by_folders(spark, tmp_path):
         captions.write(bodies, f"file://{tmp_path}/c")
     assert len(os.listdir(tmp_path / "c")) <= captions.FOLDERS and sum(len(f) for _, _, f in os.walk(tmp_path / "c")) == 301
     files = captions.read(spark, f"{tmp_path}/c/*")
+    assert files.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
     assert files.count() == 300 and len(files.inputFiles()) == 301  # Spark passes over what is empty
     assert {(r.item_id, r.start, r.text) for r in captions.parse(files).collect()} == {(f"talk {i}", 1.0, f"é & {i}") for i in range(300)}
     for bad in (None, "a/b", "", "_a"):
